@@ -63,6 +63,11 @@ def masks(radius: int = RADIUS) -> list[int]:
     return out
 
 
+def _apart(a: np.ndarray, b) -> np.ndarray:
+    """Differing bits; unsigned, since bitwise_count takes the absolute value of signed numbers."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 class _Links:
     """Spanning links of the buckets in rows sorted by bucket; keeps a union-find of its own."""
 
@@ -114,7 +119,7 @@ class _Links:
                 at = np.flatnonzero((size <= 32) & (place + k < size))
                 if not len(at):
                     break
-                at = at[np.bitwise_count(fps[at] ^ fps[at + k]) <= self.radius]
+                at = at[_apart(fps[at], fps[at + k]) <= self.radius]
                 found += self.join(fps[at], fps[at + k])
             for s, n in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
                 found += self.large(fps[s : s + n])
@@ -127,7 +132,7 @@ class _Links:
             todo, free = [free[0]], free[1:]
             while todo and len(free):
                 x = todo.pop()
-                near = np.bitwise_count(free ^ x) <= self.radius
+                near = _apart(free, x) <= self.radius
                 new = free[near]
                 if len(new):
                     out += self.join(np.full(len(new), x), new)
