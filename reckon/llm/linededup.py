@@ -127,6 +127,7 @@ def repeated_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     named = stored(named, "windows")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "s")
     first = named.groupBy("d", "m", "x", "y").agg(F.min(place).alias("_rk_f"), F.count("*").alias("_rk_c")).where("_rk_c > 1").drop("_rk_c")
+    first = stored(first, "first")  # so that both sides of the join are dealt anew, and a hot name can be split
     later = named.join(first, ["d", "m", "x", "y"]).where(place != F.col("_rk_f"))
     return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "m")).alias("_rk_w")).select("doc_id", "th", F.array_distinct(F.flatten(F.transform("_rk_w", lambda w: F.sequence(w["s"], w["s"] + w["m"] - 1)))).alias("dead"))
 
