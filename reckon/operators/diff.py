@@ -1,7 +1,7 @@
 """The keyed diff: first occurrence per key, null-safe full outer join, one counting aggregate.
 
-Plan: each side is reduced by min_by on its row order (partial aggregation before the one shuffle on the
-key), the sides meet in an equi join on the same keys, and counts and column statistics come from one
+Plan: keys are encoded without nulls; each side is reduced by min_by on its row order (partial aggregation
+before the one shuffle on the key), the sides meet in an equi join on the same keys and partitions, and counts and column statistics come from one
 aggregate over the join. Sections are lazy: sorted and capped only when asked for.
 """
 
@@ -38,6 +38,19 @@ def prepared(table: Table, res: Resolved, opt: Options) -> DataFrame:
     return df.select(*[cell(k).alias(f"k{i}") for i, k in enumerate(res.key)], *[cell(c).alias(f"c{i}") for i, c in enumerate(res.compared)], "_ord")
 
 
+def _encoded(key: Column, opt: Options) -> Column:
+    """A key cell without nulls, in the same order, so that grouping and joining share one partitioning."""
+    if opt.trim and not opt.empty_is_null:  # trimming may leave an empty text, which is not an absent one
+        return F.when(key.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), key))
+    return F.coalesce(key, F.lit(""))
+
+
+def _decoded(key: Column, opt: Options) -> Column:
+    if opt.trim and not opt.empty_is_null:
+        return F.when(key != "", F.substring(key, F.lit(2), F.length(key)))
+    return F.nullif(key, F.lit(""))
+
+
 @dataclass
 class Result:
     """Counts are computed once; sections and statistics are DataFrames."""
@@ -189,13 +202,13 @@ def compare(spark: SparkSession, a: str | DataFrame, b: str | DataFrame, options
     res = resolve(ta.names, tb.names, opt)
     pa_, pb = prepared(ta, res, opt), prepared(tb, res, opt)
     n, m = len(res.key), len(res.compared)
-    left, right = first_occurrence(pa_, n, m, "a"), first_occurrence(pb, n, m, "b")
+    keyed = lambda t: t.withColumns({f"k{i}": _encoded(F.col(f"k{i}"), opt) for i in range(n)})
+    left, right = first_occurrence(keyed(pa_), n, m, "a"), first_occurrence(keyed(pb), n, m, "b")
     right = right.select(*[F.col(f"k{i}").alias(f"_k{i}") for i in range(n)], "bv", "bn")
     if opt.hint:
         right = right.hint(opt.hint)
-    on = reduce(and_, [F.col(f"k{i}").eqNullSafe(F.col(f"_k{i}")) for i in range(n)])
-    # a missing side shows in its row count, never in its keys: keys may be null
-    joined = left.join(right, on, "full_outer").select(*[F.when(F.col("an").isNotNull(), F.col(f"k{i}")).otherwise(F.col(f"_k{i}")).alias(f"k{i}") for i in range(n)], "av", "an", "bv", "bn")
+    on = reduce(and_, [F.col(f"k{i}") == F.col(f"_k{i}") for i in range(n)])
+    joined = left.join(right, on, "full_outer").select(*[_decoded(F.coalesce(f"k{i}", f"_k{i}"), opt).alias(f"k{i}") for i in range(n)], "av", "an", "bv", "bn")
     return Result(res, opt, joined, pa_, pb, ta.names, tb.names)
 
 
