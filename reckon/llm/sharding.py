@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stored
 
-#: Rows that one task numbers, about.
+#: Rows that one task numbers, about; a row that repeats more often is dealt in pieces of so many.
 SLOT_ROWS = 100_000
 
 
@@ -37,28 +37,37 @@ def shard_rows(docs: DataFrame, shards: int = 40, weights: list[float] | None =
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     size: UTF-8 bytes of the text (null: none) plus 16. slot numbers the rows of a shard from 0 without
-    gaps, by hash bucket, then doc_id (nulls first), crc and size; equal rows get successive slots.
-    Buckets keep one task to about SLOT_ROWS rows unless one key alone has more.
+    gaps, by hash bucket, then doc_id (nulls first), crc and size; equal rows get successive slots, and are
+    counted before the shuffle, so that no task numbers them one by one.
     """
     more = None if weights is None else [*weights, grown_weight]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+    own = ["doc_id", "size", "text_crc32"]
+    sized = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
+    rows = sized.groupBy(*own).agg(F.count("*").alias("_rk_n"))
+    rows = rows.select(
+        "*",
         F.lit("key").alias("law"),
         rendezvous(F.col("doc_id"), shards, weights).cast("int").alias("shard"),
         rendezvous(F.col("doc_id"), shards + 1, more).cast("int").alias("grown_shard"),
     )
     buckets = max(1, -(-docs.count() // (shards * SLOT_ROWS)))
-    order = [F.col(c) for c in ("doc_id", "text_crc32", "size")]
     # a bucket also looks at the text, so that many rows of one key spread
-    rows = rows.withColumn("_rk_b", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets * 8)))
-    counts = rows.groupBy("shard", "_rk_b").agg(F.count("*").alias("_rk_n"))  # shards x buckets rows
-    before = counts.withColumn("_rk_before", F.sum("_rk_n").over(Window.partitionBy("shard").orderBy("_rk_b")) - F.col("_rk_n")).drop("_rk_n")
-    inside = rows.withColumn("_rk_i", F.row_number().over(Window.partitionBy("shard", "_rk_b").orderBy(*order)))
-    slot = (F.col("_rk_before") + F.col("_rk_i") - 1).cast("long").alias("slot")
-    return inside.join(before, ["shard", "_rk_b"]).select("doc_id", "size", "text_crc32", "law", "shard", slot, "grown_shard")
+    rows = stored(rows.withColumn("_rk_b", F.pmod(F.xxhash64(*own), F.lit(buckets * 8))), "sharded")
+    counts = rows.groupBy("shard", "_rk_b").agg(F.sum("_rk_n").alias("_rk_c"))  # shards x buckets rows
+    before = counts.withColumn("_rk_before", F.sum("_rk_c").over(Window.partitionBy("shard").orderBy("_rk_b")) - F.col("_rk_c")).drop("_rk_c")
+    upto = F.sum("_rk_n").over(Window.partitionBy("shard", "_rk_b").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("_rk_i", upto - F.col("_rk_n")).join(before, ["shard", "_rk_b"]).withColumn("_rk_at", F.col("_rk_before") + F.col("_rk_i"))
+    out = [*own, "law", "shard", F.col("_rk_slot").alias("slot"), "grown_shard"]
+    each = lambda at, n: F.explode(F.sequence(at, at + n - 1)).alias("_rk_slot")
+    piece = F.col("_rk_p") * SLOT_ROWS
+    often = F.col("_rk_n") > SLOT_ROWS
+    if rows.where(often).isEmpty():
+        return placed.select("*", each(F.col("_rk_at"), F.col("_rk_n"))).select(*out)
+    few = placed.where(~often).select("*", each(F.col("_rk_at"), F.col("_rk_n"))).select(*out)
+    many = placed.where(often).withColumn("_rk_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rk_n") - 1) / SLOT_ROWS))))
+    many = many.repartition("shard", "_rk_b", "_rk_p").select("*", each(F.col("_rk_at") + piece, F.least(F.lit(SLOT_ROWS).cast("long"), F.col("_rk_n") - piece))).select(*out)
+    return few.unionByName(many)
 
 
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

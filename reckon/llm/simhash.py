@@ -12,7 +12,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, documents, map_batches, stored, text_rows, words
@@ -39,18 +39,19 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp) and the columns in ``more``: fp as a signed 64-bit number."""
 
     def make():
         def f(b):
             fps = np.fromiter((fingerprint(t) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
-            return {"doc_id": b.column("doc_id"), "fp": fps.view(np.int64)}
+            return {x: b.column(x) for x in kept} | {"fp": fps.view(np.int64)}
 
         return f
 
-    rows = text_rows(docs)
-    return map_batches(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = text_rows(docs, *more)
+    kept = [c for c in rows.columns if c != "text"]
+    return map_batches(rows, make, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), "fp long"]))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -163,28 +164,33 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     doc_id reachable (null only if all are null). An empty table gives no rows.
     """
     rows = stored(fingerprints(docs), "simhash")
-    return _grouped(rows, radius)
+    named = _lowest(rows, F.col("doc_id"), radius)
+    return rows.join(named, F.col("fp") == F.col("_rk_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_rk_low").alias("component_id"))
 
 
-def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+def _lowest(rows: DataFrame, place: Column, radius: int) -> DataFrame:
+    """(_rk_fp, _rk_low): the least ``place`` in the component of each fingerprint."""
     root = components(links(rows, radius))
-    each = rows.groupBy("fp").agg(F.min("doc_id").alias("_rk_low"))
-    rooted = each.join(root, F.col("fp") == F.col("node"), "left").select("fp", "_rk_low", F.coalesce("root", "fp").alias("root"))
+    each = rows.groupBy("fp").agg(F.min(place).alias("_rk_own"))
+    rooted = each.join(root, F.col("fp") == F.col("node"), "left").select("fp", "_rk_own", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
-    low = rooted.groupBy("root").agg(F.min("_rk_low").alias("component_id"))
-    named = rooted.join(low, "root").select(F.col("fp").alias("_rk_fp"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("_rk_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    low = rooted.groupBy("root").agg(F.min("_rk_own").alias("_rk_low"))
+    return rooted.join(low, "root").select(F.col("fp").alias("_rk_fp"), "_rk_low")
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents, one of each linked group: that with the least doc_id (all rows of it, if repeated).
+    """The documents, one of each linked group: that with the least doc_id (nulls last), then hash of the text.
 
-    Groups in which every doc_id is null keep all their rows.
+    Rows that agree in doc_id and text are one document, and stay or go alike. Null and empty texts have
+    fingerprint zero and are one group. An empty table gives no rows.
     """
-    lost = simhash_groups(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_rk_lost")).distinct()
-    out = docs.join(lost, F.col("doc_id") == F.col("_rk_lost"), "left_anti")
-    # rows without a doc_id go where a row with one stands for the group
-    return out
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = stored(fingerprints(docs, text.alias("_rk_th")), "simhash")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_th")
+    named = _lowest(rows, place, radius)
+    lost = rows.join(named, F.col("fp") == F.col("_rk_fp")).where(place != F.col("_rk_low")).select(F.col("doc_id").alias("_rk_lost"), "_rk_th").distinct()
+    own = docs.withColumn("_rk_own_th", text)
+    return own.join(lost, F.col("doc_id").eqNullSafe(F.col("_rk_lost")) & (F.col("_rk_own_th") == F.col("_rk_th")), "left_anti").drop("_rk_own_th")
 
 
 def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,17 @@ def test_simhash_components_against_all_pairs(spark):
     assert left == set(near)
 
 
+def test_simhash_dedup_of_repeated_rows_and_null_ids(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    df = table(spark, [one, two, one, one, two, three, three, None, "", three + " x"], [5, 5, 3, None, None, None, None, 8, None, 9])
+    got = sorted(((x.doc_id, x.text) for x in simhash.simhash_dedup(df).collect()), key=str)
+    near = (simhash.fingerprint(three.encode()) ^ simhash.fingerprint((three + " x").encode())).bit_count() <= 4
+    assert near
+    assert got == sorted([(3, one), (5, two), (9, three + " x"), (8, None)], key=str)
+    alone = table(spark, [three, three, one], [None, None, 7])
+    assert sorted((x.doc_id or 0, x.text) for x in simhash.simhash_dedup(alone).collect()) == sorted([(0, three), (0, three), (7, one)])
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     r = random.Random(5)
     fps = {0}
@@ -192,6 +203,16 @@ def test_shards_move_only_into_the_new_one(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_rows_that_repeat_often_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    texts, ids = ["same"] * 100 + [None] * 50 + [f"t{i}" for i in range(60)] + ["", "same"], [1] * 100 + [None] * 50 + [i // 3 for i in range(60)] + [None, 2]
+    got = sharding.shard_rows(table(spark, texts, ids), 3).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(t or "") + 16) for i, t in zip(ids, texts, strict=True))
+    for s in range(3):
+        mine = [r.slot for r in got if r.shard == s]
+        assert sorted(mine) == list(range(len(mine)))
+
+
 def test_weighted_shards_share_in_proportion(spark):
     s = sharding.rendezvous(F.col("id"), 3, [1.0, 2.0, 5.0])
     n = dict(rows(spark.range(20000).groupBy(s.alias("s")).count()))
