@@ -86,6 +86,21 @@ def test_null_keys_match_and_sort_last(spark, tmp_path):
     assert (r.counts["matched"], r.counts["changed"], r.counts["added"]) == (1, 1, 1)
 
 
+def test_keys_that_trim_to_nothing_are_not_absent(spark, tmp_path):
+    a, b = "k,j,v\n  ,1,x\n,1,y\n =,1,z\n", "k,j,v\n\t,1,x\n,1,changed\n=,1,z\n"
+    r = both(spark, tmp_path, a, b, key=("k", "j"), trim=True)
+    assert (r.counts["a_keys"], r.counts["matched"], r.counts["changed"], r.counts["added"]) == (3, 3, 1, 0)
+    assert [x["k"] for x in r.changed().collect()] == [None]
+    assert {x["k0"] for x in r.joined.collect()} == {"", None, "="}
+    one = both(spark, tmp_path, a, b, key=("k", "j"), trim=True, empty_is_null=True)
+    assert (one.counts["a_keys"], one.counts["a_dup_rows"], one.counts["matched"]) == (2, 2, 2)
+
+
+def test_one_shuffle_a_side(spark, tmp_path):
+    plan = both(spark, tmp_path, *SIMPLE, key=("id",)).joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_cap_is_the_smallest_keys(spark, tmp_path):
     keys = "jihgfedcba"
     r = both(spark, tmp_path, "k,v\n" + "".join(f"{k},x\n" for k in keys), "k,v\n" + "".join(f"{k},y\n" for k in keys), key=("k",), max_rows=3)
