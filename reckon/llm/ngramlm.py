@@ -1,32 +1,38 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
-States: the root, the start of a text, and each frequent word. The arcs of the root are the smoothed
-unigrams; the arcs of a word are the bigrams seen often enough; a state without an arc for the next word
-takes its failure arc, at the cost of its backoff weight, to the root. A text is one left-to-right walk
-that carries the state and adds log10 probabilities. For every state they sum to one, with one class for
-words that training did not hold.
-
-Frequent is a share of the training tokens, so at most 1/WORD_SHARE words and 1/PAIR_SHARE bigrams can
-qualify, whatever the corpus: that bounds what is broadcast. Unigram counts have no such bound: each block
-of documents asks for the words it holds, and gets their counts by a shuffle on the block.
+States: the root, the start of a text, and each word of the training texts. The arcs of the root are the
+smoothed unigrams; the arcs of a word are all bigrams seen after it; a state without an arc for the next
+word takes its failure arc, at the cost of its backoff weight, to the root. A text is one left-to-right
+walk that carries the state and adds log10 probabilities. For every state they sum to one, with one class
+for words that training did not hold.
+
+The arc of w after u has (c(u,w) + m * P(w)) / (c(u) + m), the failure arc m / (c(u) + m), with
+m = ARC_WEIGHT * c(u) ** ARC_POWER: contexts seen often are trusted more.
+
+Nothing of the model is broadcast or collected but five totals. Each block of documents asks for the words
+and the pairs that it holds and gets their counts by shuffles: words as they are, pairs by 64-bit hashes,
+packed by ranges of the hash, as many ranges as the text has BUCKET_BYTES. A block then walks its texts on
+its own part of the automaton.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, stored, text_rows, words
 
-WORD_SHARE, PAIR_SHARE, DISCOUNT = 1e-5, 1e-6, 0.75
+ARC_WEIGHT, ARC_POWER = 4.0, 0.7
 #: Documents in one block of a partition.
 BLOCK_ROWS = 4096
+#: Bytes of text whose pairs meet in one task.
+BUCKET_BYTES = 32 << 20
 END = b"\n"  # no word holds white space
 
 
@@ -75,85 +81,149 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return each.select("part", "word", F.sum("n").over(by).alias("total"), (F.min("part").over(by) == F.col("part")).alias("own"))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, so that the empty high ones compress away."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
+
+
+def pair_hashes(held: list[bytes], codes: np.ndarray) -> np.ndarray:
+    """The hash of each pair, code = state * (len(held) + 1) + word, the last state being the start."""
+    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in [*held, b""]), np.uint64, len(held) + 1)
+    state, word = codes // len(own), codes % len(own)
+    h = own[state] * np.uint64(0x9E3779B97F4A7C15) ^ (own[word] + np.uint64(0xD6E8FEB86659FD93))
+    for shift in (32, 29):  # mixed, as ranges go by the high bits
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def pair_codes(ids: np.ndarray, k: int) -> np.ndarray:
+    """The codes of a text's pairs, from its words' places among k held ones."""
+    return np.concatenate([[k], ids[:-1]]) * (k + 1) + ids
+
+
 class _Pairs:
-    """Counts of pairs of frequent words in training documents, gathered over many tokens."""
+    """Per block: the hashes of its pairs in order, with their counts in training documents, by range."""
 
-    def __init__(self, known: list[bytes]):
-        self.ids = {w: i for i, w in enumerate(known)}
-        self.width, self.start, self.held, self.n = len(known) + 1, len(known), [], 0
+    def __init__(self, buckets: int):
+        self.buckets, self.part = buckets, None
 
     def __call__(self, b):
-        get = self.ids.get
-        for text, train in zip(b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
-            if not train:
-                continue
+        for part, text, train in zip(b.column("part").to_pylist(), b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
+            if part != self.part:
+                yield from self.end()
+                self.part, self.place, self.ids, self.train = part, {}, [], []
             w = words(text)
             w.append(END)
-            ids = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
-            prev = np.concatenate([[self.start], ids[:-1]])
-            code = (prev * self.width + ids)[(prev >= 0) & (ids >= 0)]
-            self.held.append(code)
-            self.n += len(code)
-            if self.n > 4_000_000:
-                yield from self.end()
+            self.ids.append(np.fromiter((self.place.setdefault(x, len(self.place)) for x in w), np.int64, len(w)))
+            self.train.append(train)
 
     def end(self):
-        if self.held:
-            code, n = np.unique(np.concatenate(self.held), return_counts=True)
-            self.held, self.n = [], 0
-            yield {"code": code, "n": n}
+        if self.part is None:
+            return
+        k = len(self.place)
+        codes = np.concatenate([pair_codes(x, k) for x in self.ids])
+        train = np.repeat(self.train, [len(x) for x in self.ids])
+        codes, at = np.unique(codes, return_inverse=True)
+        n = np.bincount(at[train], minlength=len(codes))
+        hashes, at = np.unique(pair_hashes(list(self.place), codes), return_inverse=True)
+        n = np.bincount(at, weights=n, minlength=len(hashes)).astype(np.uint64)
+        edges = np.array([(j << 64) // self.buckets for j in range(1, self.buckets)], np.uint64)
+        cut = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+        full = np.flatnonzero(np.diff(cut))
+        spans = [slice(cut[j], cut[j + 1]) for j in full]
+        yield {"part": np.full(len(full), self.part), "bucket": full, "hashes": [pack(np.diff(hashes[x], prepend=np.uint64(0))) for x in spans], "n": [pack(n[x]) for x in spans]}
+        self.part = None
 
 
-class Automaton:
-    """States 0..k-1 the frequent words, k the start of a text, -1 the root."""
-
-    def __init__(self, known: list[bytes], counts: np.ndarray, starts: int, codes: np.ndarray, pairs: np.ndarray, n: int, v: int, discount: float):
-        k = len(known)
-        self.start, self.width, self.n, self.v, self.discount = k, k + 1, n, v, discount
-        self.ids = {w: i for i, w in enumerate(known)}
-        order = np.argsort(codes)
-        self.codes = codes[order]
-        state, word = self.codes // self.width, self.codes % self.width
-        total = np.append(counts, starts).astype(np.float64)
-        p = (pairs[order] - DISCOUNT) / np.maximum(total[state], 1) if len(codes) else np.zeros(0)
-        self.arcs = np.log10(p)
-        taken = np.bincount(state, weights=p, minlength=k + 1)
-        lower = np.bincount(state, weights=np.append(self.unigram(counts), 0)[word], minlength=k + 1)
-        self.backoff = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - lower, 1e-12))
+def _totals(t: pa.Table) -> pa.Table:
+    """The counts of one range of hashes, over all blocks, for each block in the order of its hashes."""
+    hashes = [np.cumsum(unpack(x), dtype=np.uint64) for x in t["hashes"].to_pylist()]
+    at = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    n = np.bincount(at, weights=np.concatenate([unpack(x) for x in t["n"].to_pylist()])).astype(np.uint64)[at]
+    cut = np.cumsum([len(x) for x in hashes])[:-1]
+    return pa.table({"part": t["part"], "bucket": t["bucket"], "n": pa.array([pack(x) for x in np.split(n, cut)], pa.binary())})
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(part, bucket, n): packed training counts of each block's pairs, by the range and order of their hashes."""
+    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = -(-size // BUCKET_BYTES) or 1
+    each = map_batches(rows.select("part", "text", "train"), lambda: _Pairs(buckets), "part long, bucket long, hashes binary, n binary")
+    return each.groupBy("bucket").applyInArrow(_totals, "part long, bucket long, n binary")
+
+
+class Root:
+    """The unigrams: n training tokens, v distinct, and the count of texts."""
+
+    def __init__(self, n: int, v: int, starts: int, discount: float):
+        self.n, self.v, self.starts, self.discount = n, v, starts, discount
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
-        """The root's probabilities of words with these training counts; 0 is the class of all unknown."""
+        """Probabilities of words with these training counts; 0 is the class of all unknown."""
         if not self.n:
             return np.ones(len(c))
         return np.where(c > 0, (c - self.discount) / self.n, self.discount * self.v / self.n)
 
-    def walk(self, ids: np.ndarray, c: np.ndarray) -> float:
-        """log10 probability of a text's words, the end among them, by their states and counts."""
-        prev = np.concatenate([[self.start], ids[:-1]])
-        root = np.log10(self.unigram(c))
-        out = root + np.where(prev >= 0, self.backoff[prev], 0.0)
-        at = np.flatnonzero((prev >= 0) & (ids >= 0))
-        if len(self.codes) and len(at):
-            code = prev[at] * self.width + ids[at]
+
+class Automaton:
+    """The part over some words: states 0..k-1 are the words, k the start of a text; failure arcs lead to the root."""
+
+    def __init__(self, root: Root, counts: np.ndarray, codes: np.ndarray, pairs: np.ndarray):
+        self.start = len(counts)
+        low = root.unigram(counts)
+        self.root = np.log10(low)
+        seen = pairs > 0
+        self.codes = codes[seen]  # in order
+        state, word = self.codes // (self.start + 1), self.codes % (self.start + 1)
+        total = np.append(counts, root.starts).astype(np.float64)
+        m = ARC_WEIGHT * np.maximum(total, 1) ** ARC_POWER
+        self.arcs = np.log10((pairs[seen] + m[state] * low[word]) / (total + m)[state])
+        self.backoff = np.log10(m / (total + m))
+
+    def walk(self, ids: np.ndarray) -> float:
+        """log10 probability of a text's words, the end among them."""
+        code = pair_codes(ids, self.start)
+        out = self.backoff[code // (self.start + 1)] + self.root[ids]
+        if len(self.codes):
             place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             hit = self.codes[place] == code
-            out[at[hit]] = self.arcs[place[hit]]
+            out[hit] = self.arcs[place[hit]]
         return float(out.sum())
 
 
-def train(rows: DataFrame, counts: DataFrame) -> Automaton:
-    """The automaton from blocks() and stored word_counts()."""
-    spark = rows.sparkSession
+def train(counts: DataFrame) -> Root:
+    """The unigrams' totals from stored word_counts()."""
     own = counts.where("own and total > 0")
     s = own.agg(F.sum("total"), F.count("*"), F.count_if(F.col("total") == 1), F.count_if(F.col("total") == 2), F.max(F.when(F.col("word") == F.lit(END), F.col("total")))).first()
     n, v, n1, n2, starts = (int(x or 0) for x in s)
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-    often = own.where(F.col("total") >= max(1, n * WORD_SHARE)).select("word", "total").toArrow()
-    order = np.argsort(np.array(often["word"].to_pylist(), dtype=object)) if len(often) else []
-    known, total = [bytes(often["word"][int(i)].as_py()) for i in order], np.array([often["total"][int(i)].as_py() for i in order], np.int64)
-    held = spark.sparkContext.broadcast(known)
-    pairs = map_batches(rows.select("text", "train"), lambda: _Pairs(held.value), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, n * PAIR_SHARE)).toArrow()
-    return Automaton(known, total, starts, pairs["code"].to_numpy(), pairs["n"].to_numpy(), n, v, discount)
+    return Root(n, v, starts, discount)
+
+
+def local(texts: pa.Table, own: pa.Table, root: Root) -> tuple[list[np.ndarray], np.ndarray, Automaton]:
+    """The places of a block's words text by text, the words' training counts, and its part of the automaton."""
+    given = own.filter(pa.compute.is_valid(own["word"]))
+    held, total = given["word"].to_pylist(), given["total"].to_numpy()
+    place = {w: i for i, w in enumerate(held)}
+    ids = []
+    try:
+        for text in texts["text"].to_pylist():
+            w = words(text)
+            w.append(END)
+            ids.append(np.fromiter(map(place.__getitem__, w), np.int64, len(w)))
+        codes = np.unique(np.concatenate([pair_codes(x, len(held)) for x in ids]))
+        hashes, at = np.unique(pair_hashes(held, codes), return_inverse=True)
+        packed = own.filter(pa.compute.is_valid(own["n"])).sort_by("bucket")["n"].to_pylist()
+        pairs = np.concatenate([unpack(x) for x in packed]).astype(np.int64)
+        if len(pairs) != len(hashes):
+            raise KeyError
+    except KeyError as e:
+        raise RuntimeError("the documents' partitions changed between passes; write them to a table first") from e
+    return ids, total, Automaton(root, total, codes, pairs[at])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -163,34 +233,27 @@ def score(docs: DataFrame) -> DataFrame:
     held out). A null or empty text is its end alone. Nothing to train on: every word is unknown, at log10
     probability 0. Equal rows score alike.
     """
-    spark = docs.sparkSession
     rows = blocks(docs)
     counts = stored(word_counts(rows), "words")
-    model = spark.sparkContext.broadcast(train(rows, counts))
+    root = train(counts)
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def block(texts: pa.Table, own: pa.Table) -> pa.Table:
-        m = model.value
-        held = own["word"].to_pylist()
-        place = {w: i for i, w in enumerate(held)}
-        total = own["total"].to_numpy()
-        ids = np.fromiter(map(m.ids.get, held, repeat(-1)), np.int64, len(held))
-        log = np.log10((total + 0.1) / (m.n + 0.1 * (m.v + 1)))
-        out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for text in texts["text"].to_pylist():
-            w = words(text)
-            w.append(END)
-            try:
-                at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-            except KeyError as e:
-                raise RuntimeError("the documents' partitions changed between passes; write them to a table first") from e
-            c = total[at]
-            for k, x in zip(out, (len(w), int((c > 0).sum()), float(log[at].sum()), m.walk(ids[at], c)), strict=True):
-                out[k].append(x)
-        return pa.table({"doc_id": texts["doc_id"], "held_out": pa.compute.invert(texts["train"]), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([m.n] * len(texts), pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
-
-    return rows.groupBy("part").cogroup(counts.select("part", "word", "total").groupBy("part")).applyInArrow(block, schema)
+        ids, c, m = local(texts, own, root)
+        log = np.log10((c + 0.1) / (root.n + 0.1 * (root.v + 1)))
+        return pa.table({
+            "doc_id": texts["doc_id"],
+            "held_out": pa.compute.invert(texts["train"]),
+            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+            "n_known": pa.array([int((c[x] > 0).sum()) for x in ids], pa.int64()),
+            "train_tokens": pa.array([root.n] * len(texts), pa.int64()),
+            "base_score": pa.array([float(log[x].sum()) for x in ids], pa.float64()),
+            "score": pa.array([m.walk(x) for x in ids], pa.float64()),
+        })
+
+    asked = counts.select("part", "word", "total").unionByName(pair_counts(rows), allowMissingColumns=True)
+    return rows.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(block, schema)
 
 
 def op7_ngram_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,18 +360,52 @@ def test_language_model(spark):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
-def test_every_state_sums_to_one(spark):
-    rows_ = ngramlm.blocks(table(spark, awkward(14, 120)))
-    counts = ngramlm.stored(ngramlm.word_counts(rows_), "w")
-    m = ngramlm.train(rows_, counts)
-    own = {bytes(r.word): r.total for r in counts.where("own and total > 0").collect()}
-    known = sorted(own)
-    total = np.array([own[w] for w in known] + [0])
-    ids = np.array([m.ids.get(w, -1) for w in known] + [-1])
-    assert abs(m.unigram(total).sum() - 1) < 1e-9
-    for state in [*range(min(10, m.start)), m.start]:
-        p = [10 ** (m.arcs[np.searchsorted(m.codes, state * m.width + i)] if i >= 0 and state * m.width + i in set(m.codes.tolist()) else m.backoff[state] + log10(m.unigram(np.array([c]))[0])) for i, c in zip(ids, total, strict=True)]
-        assert abs(sum(p) - 1) < 1e-6
+def test_whole_language_model_against_brute_force(spark, monkeypatch):
+    """Blocks of four rows and many ranges of hashes: every pair counts, however rare."""
+    monkeypatch.setattr(ngramlm, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(ngramlm, "BUCKET_BYTES", 1000)
+    texts = awkward(17, 90)
+    got = {r.doc_id: r.score for r in ngramlm.score(table(spark, texts).repartition(3, "doc_id").sortWithinPartitions("doc_id")).collect()}
+    tokens = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in enumerate(texts)}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for i in train for w in tokens[i])
+    pairs = Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i], strict=False))
+    n, v = sum(c.values()), len(c)
+    n1, n2 = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+    low = lambda w: (c[w] - d) / n if c[w] else d * v / n
+    for i, w in tokens.items():
+        want = 0.0
+        for u, x in zip([None, *w], w, strict=False):
+            k = len(train) if u is None else c[u]
+            m = ngramlm.ARC_WEIGHT * max(k, 1) ** ngramlm.ARC_POWER
+            want += log10((pairs[u, x] + m * low(x)) / (k + m))
+        assert abs(got[i] - want) < 1e-6 * len(w)
+
+
+def test_every_state_sums_to_one():
+    r = random.Random(14)
+    c = np.array([r.randint(1, 50) for _ in range(30)])
+    root = ngramlm.Root(int(c.sum()), len(c), 7, 0.5)
+    k = len(c) + 1  # and the class of unknown words
+    counts = np.append(c, 0)
+    pairs = {}
+    for u, total in [*enumerate(counts.tolist()), (k, root.starts)]:
+        for _ in range(total):
+            code = u * (k + 1) + r.randrange(k - 1)
+            pairs[code] = pairs.get(code, 0) + 1
+    codes = np.array(sorted(pairs))
+    m = ngramlm.Automaton(root, counts, codes, np.array([pairs[x] for x in codes.tolist()]))
+    assert abs((10**m.root).sum() - 1) < 1e-9
+    for u in range(k + 1):
+        arcs = dict(zip(m.codes.tolist(), m.arcs.tolist(), strict=True))
+        p = [10 ** arcs.get(u * (k + 1) + x, m.backoff[u] + m.root[x]) for x in range(k)]
+        assert abs(sum(p) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("values", [[], [0], [1, 255, 256, 2**64 - 1]])
+def test_packed_numbers(values):
+    assert ngramlm.unpack(ngramlm.pack(np.array(values, np.uint64))).tolist() == values
 
 
 def test_language_model_with_nothing_to_train_on(spark):
