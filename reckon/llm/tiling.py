@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, plain_words
+from .common import documents, map_batches, plain_words, stored
 
 MIN_MATCH, COVERAGE = 5, 0.8
 #: Bytes of test items held by a task at once; more items are taken in blocks, one pass for each.
@@ -134,7 +134,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: int = MIN_MATCH, cov
 
     ``items`` has item_id (integer) and text; null and empty items match nothing, items shorter than
     ``least`` tokens count when they stand whole. Null and empty documents have no hits. Items are taken
-    in blocks of about BLOCK_BYTES, with one pass over the documents for each block.
+    in blocks of about BLOCK_BYTES, with one pass over the documents, written in between, for each block.
     """
     size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -144,6 +144,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: int = MIN_MATCH, cov
         own = items.where(key == block) if blocks > 1 else items
         held = [(r[0], r[1]) for r in own.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator()]
         out = _pass(out, docs.sparkSession.sparkContext.broadcast(held), least, coverage, column)
+        if block < blocks - 1:  # chained passes would hold all items in one task
+            out = stored(out, "tiled")
     return out
 
 
