@@ -32,7 +32,7 @@ ARC_WEIGHT, ARC_POWER = 4.0, 0.7
 #: Documents in one block of a partition.
 BLOCK_ROWS = 4096
 #: Bytes of text whose pairs meet in one task.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 END = b"\n"  # no word holds white space
 
 
