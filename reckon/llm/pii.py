@@ -97,9 +97,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     has_digits = F.col("text").rlike("[0-9]{2}|[0-9][ -][0-9]")
     for kind, (pattern, needs, _, _) in KINDS.items():
         maybe = F.col("text").contains(needs) if needs else has_digits
-        maybe = maybe & has_digits if kind in ("ip", "phone") and needs != "." else maybe
-        if kind == "ip":
-            maybe = F.col("text").rlike(r"[0-9]\.[0-9]")
+        if kind in ("ip", "phone"):
+            maybe = F.col("text").rlike(r"[0-9]\.[0-9]" if kind == "ip" else r"\+[0-9]")
         rows = rows.withColumn(f"_rk_m_{kind}", F.when(maybe, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     for kind, (pattern, *_) in KINDS.items():
         found = F.size(f"_rk_m_{kind}") > 0
