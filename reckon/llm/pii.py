@@ -1,7 +1,7 @@
 """Personal data by DataFrame functions alone: patterns propose spans, checksums confirm them, context scores them.
 
 Positions: ``split`` gives the gaps between matches and ``regexp_extract_all`` the matches; running
-sums of their lengths (code points) are the spans. Runs are possessive and start only where a run of
+sums of their lengths (code points) are the spans. Unbounded runs are possessive and start only where a run of
 their class starts or where the last match ended, which changes no match and keeps long runs linear.
 """
 
@@ -14,13 +14,30 @@ from .common import documents
 
 _LOCAL, _PART = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: Length of an IBAN: the countries that have it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Groups of four to the length of the country; a code without a known length may have any, the longest first."""
+    groups = lambda n: rf"(?:\x20?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    known = [rf"(?:{'|'.join(codes.split())})[0-9]{{2}}{groups(n - 4)}" for n, codes in IBAN_LENGTHS.items()]
+    other = rf"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 #: kind: (pattern, a cheap test that any match passes, score without context, context words)
 KINDS = {
     "email": (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_PART}++(?:\.{_PART}++)++", "@", 0.9, "email|e-mail|mail|contact|correo|courriel"),
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", ".", 0.6, "ip|address|host|server|login|client"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|mastercard|credit|payment|karte|tarjeta|carte"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.5, "phone|tel|call|mobile|fax|telefon|llame|appel"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", None, 0.8, "iban|bank|account|konto|cuenta|compte"),
+    "iban": (_iban(), None, 0.8, "iban|bank|account|konto|cuenta|compte"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Code points before a span in which context words count, and what one adds to the score.
