@@ -129,7 +129,19 @@ def repeated_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     first = named.groupBy("d", "m", "x", "y").agg(F.min(place).alias("_rk_f"), F.count("*").alias("_rk_c")).where("_rk_c > 1").drop("_rk_c")
     first = stored(first, "first")  # so that both sides of the join are dealt anew, and a hot name can be split
     later = named.join(first, ["d", "m", "x", "y"]).where(place != F.col("_rk_f"))
-    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "m")).alias("_rk_w")).select("doc_id", "th", F.array_distinct(F.flatten(F.transform("_rk_w", lambda w: F.sequence(w["s"], w["s"] + w["m"] - 1)))).alias("dead"))
+    return covered(later.select("doc_id", "th", "s", (F.col("s") + F.col("m")).alias("e")))
+
+
+def covered(runs: DataFrame) -> DataFrame:
+    """doc_id, th, dead: the positions that the runs from s to e (exclusive) hold, each once.
+
+    A run adds the positions beyond the furthest end before it, so that the work is that of the lines, however the
+    runs overlap.
+    """
+    longest = runs.groupBy("doc_id", "th", "s").agg(F.max("e").alias("e"))
+    before = F.max("e").over(Window.partitionBy("doc_id", "th").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    new = longest.withColumn("s", F.greatest("s", F.coalesce(before, F.lit(0)))).where("s < e")
+    return new.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("e") - 1))).alias("dead"))
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
