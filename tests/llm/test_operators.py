@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reckon.llm import audio, bpe, linededup, ngramlm, pii, resampling, sharding, simhash, tiling, toxicity
+from reckon.llm import audio, bpe, linededup, ngramlm, pii, resampling, sharding, simhash, toxicity
 from reckon.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part long, total string"
@@ -252,53 +252,6 @@ def test_audio_features_of_known_sound():
     assert np.array_equal(batch["mel"].combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)[: len(mel)], mel)
 
 
-# --- Tiling
-
-
-def brute_tiles(a, b, least):
-    """Longest free common run first, ties by item, then document place."""
-    ua, ub, covered = [False] * len(a), [False] * len(b), 0
-    while True:
-        best = None
-        for i in range(len(a)):
-            for j in range(len(b)):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not ua[i + k] and not ub[j + k]:
-                    k += 1
-                if k >= least and (best is None or k > best[0]):
-                    best = (k, i, j)
-        if not best:
-            return covered
-        for k in range(best[0]):
-            ua[best[1] + k] = ub[best[2] + k] = True
-        covered += best[0]
-
-
-def test_tiling_against_brute_force():
-    r = random.Random(11)
-    for _ in range(150):
-        item = [r.choice("abcdef") for _ in range(r.randint(3, 14))]
-        doc = [r.choice("abcdef") for _ in range(r.randint(0, 10))] + item[4:] + ["q"] + item[:5] + [r.choice("abcdefz") for _ in range(8)]
-        found = tiling.Items([(1, " ".join(item))], 3).find(" ".join(doc))
-        assert found.get(0, 0) == brute_tiles(item, doc, 3)
-
-
-def test_decontamination_catches_reordered_passages(spark, monkeypatch):
-    r = random.Random(12)
-    words = [f"w{i}" for i in range(500)]
-    items = [[r.choice(words) for _ in range(40)] for _ in range(20)]
-    noise = lambda n: [r.choice(words) for _ in range(n)]
-    docs = [noise(200) for _ in range(20)] + [noise(50) + x + noise(20) for x in items[:5]] + [x[20:] + noise(9) + x[:20] for x in items[5:10]] + [x[:20] for x in items[10:12]] + [[w.upper() + "," for w in items[0]]]
-    texts = [None, "", *[" ".join(d) for d in docs], "short item"]
-    bench = spark.createDataFrame([(i, " ".join(x), 1) for i, x in enumerate(items)] + [(90, None, 1), (91, "", 1), (92, "Short item!", 1)], "item_id long, text string, doc_id int")
-    want = {22 + i: [i] for i in range(10)} | {34: [0], 35: [92]}
-    for size in (8 << 20, 500):
-        monkeypatch.setattr(tiling, "BLOCK_BYTES", size)
-        out = tiling.decontaminate(table(spark, texts), bench)
-        assert {x.doc_id: sorted(h.item_id for h in x._rk_hits) for x in out.collect() if x._rk_hits} == want
-    assert out.columns[:7] == table(spark, texts).columns
-
-
 # --- Line dedup
 
 
@@ -340,6 +293,20 @@ def test_line_dedup_of_repeated_rows_and_null_ids(spark):
     assert got == sorted([(5, "", 0), (5, "", 0), (None, "", 0), (2, "x\n" + run + "\ny", len(run) + 4), (None, None, None)], key=str)
 
 
+def test_overlapping_runs_cost_their_lines_only(spark):
+    runs = spark.range(50_000).selectExpr("1L as doc_id", "2L as th", "cast(id as int) as s", "cast(id + 20000 as int) as e")
+    more = spark.createDataFrame([(1, 3, 5, 8), (1, 3, 0, 2), (1, 3, 6, 7), (None, 3, 1, 2)], "doc_id long, th long, s int, e int")
+    got = {(r.doc_id, r.th): sorted(r.dead) for r in linededup.covered(runs.union(more)).collect()}
+    assert got.pop((1, 2)) == list(range(69_999))
+    assert got == {(1, 3): [0, 1, 5, 6, 7], (None, 3): [1]}
+
+
+def test_line_dedup_of_many_blank_lines(spark):
+    text = "\n" * 3000 + " ".join(f"w{i}" for i in range(25))
+    got = {r.doc_id: (r.text, r._rk_dead) for r in linededup.dedup_lines(table(spark, [text, text], [1, 2])).collect()}
+    assert got == {1: (text, 0), 2: ("", 3001)}
+
+
 # --- Language model
 
 
