@@ -20,10 +20,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is set, as in tests."""
+    """The folder that driver and executors share; a private one only where none is set and all runs on one machine."""
     key = "spark.checkpoint.dir"
     named = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="reckon-")
         spark.conf.set(key, named)
     return named.rstrip("/")
