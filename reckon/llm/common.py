@@ -43,6 +43,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Row numbers that every task may hold; beyond, rows meet them in a shuffle.
+HELD_ROWS = 1_000_000
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with _rk_row, which tells rows apart in every later pass.
+
+    Rows of a plain file scan have their place in the file; anything else is written first.
+    """
+    nodes = [line.lstrip(" :+-").split(" ")[0] for line in docs._jdf.queryExecution().analyzed().toString().splitlines() if line.strip()]
+    if [x for x in nodes if x not in ("Project", "Filter")] == ["Relation"] and "_metadata" not in docs.columns:
+        return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("_rk_row"))
+    return stored(docs.withColumn("_rk_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")
+
+
+def met(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi, anti or inner join on _rk_row with stored ``rows``: by broadcast up to HELD_ROWS, else by a shuffle."""
+    return docs.join(F.broadcast(rows) if rows.count() <= HELD_ROWS else rows.hint("merge"), "_rk_row", how)
+
+
 def words(data: bytes) -> list[bytes]:
     """Lower-case A-Z, then the runs of bytes outside 0x20 and 0x09-0x0D."""
     return data.lower().split()
@@ -104,9 +124,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_rk_m")).select(F.col("u").alias("_rk_u"), F.least("u", "_rk_m").alias("_rk_m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("_rk_u")).select(F.col("v").alias("u"), F.col("_rk_m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("_rk_u")).select(F.col("v").alias("u"), F.col("_rk_m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("_rk_m")).select(F.col("u").alias("_rk_u"), "_rk_m")
-        joined = large.join(least, F.col("u") == F.col("_rk_u"))
+        joined = large.join(least.hint("merge"), F.col("u") == F.col("_rk_u"))
         small = joined.where("v > _rk_m").select(F.col("v").alias("u"), F.col("_rk_m").alias("v")).unionByName(least.select(F.col("_rk_u").alias("u"), F.col("_rk_m").alias("v"))).distinct()
         e = stored(small, "edges")
         # done when every node has one link and no root is a node: a forest of stars
