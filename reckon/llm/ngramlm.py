@@ -1,84 +1,128 @@
-"""Language-model scoring with a weighted backoff automaton over words.
+"""Language-model scoring with a weighted backoff automaton of order three over words.
 
-States: the root, the start of a text, and each word of the training texts. The arcs of the root are the
-smoothed unigrams; the arcs of a word are all bigrams seen after it; a state without an arc for the next
-word takes its failure arc, at the cost of its backoff weight, to the root. A text is one left-to-right
-walk that carries the state and adds log10 probabilities. For every state they sum to one, with one class
-for words that training did not hold.
+States: the root, the start of a text, each word of the training texts, and each pair of words that follow on one
+another there (the start among them). The arcs of a state are the words seen after it; a state without an arc for
+the next word takes its failure arc, at the cost of a backoff weight, to the state of one word less, down to the
+root, whose arcs are the smoothed unigrams with one class for all words that training did not hold. A text is one
+left-to-right walk that carries the state and adds log10 probabilities; for every state they sum to one.
 
-The arc of w after u has (c(u,w) + m * P(w)) / (c(u) + m), the failure arc m / (c(u) + m), with
-m = ARC_WEIGHT * c(u) ** ARC_POWER: contexts seen often are trusted more.
+With m(c) = WEIGHT * c ** POWER pseudo-tokens, the arc of w after a state s seen c(s) times weighs
+(c(s w) + m * P(w | one word less)) / (c(s) + m), the failure arc m / (c(s) + m): states seen often are trusted more.
 
-Nothing of the model is broadcast or collected but five totals. Each block of documents asks for the words
-and the pairs that it holds and gets their counts by shuffles: words as they are, pairs by 64-bit hashes,
-packed by ranges of the hash, as many ranges as the text has BUCKET_BYTES. A block then walks its texts on
-its own part of the automaton.
+Counts: documents form blocks of some BLOCK_BYTES in the order of their partition. A block tokenises its texts, and
+asks for the training counts of its words, pairs and triples by 64-bit (pairs and triples: 56-bit) hashes, packed by
+ranges of the hash, as many ranges as the texts have BLOCK_BYTES. Totals of a range go back to the blocks in the
+order of their hashes, where they meet the block's texts. Nothing is broadcast or collected but five totals.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, stored, text_rows, words
-
-ARC_WEIGHT, ARC_POWER = 4.0, 0.7
-#: Documents in one block of a partition.
-BLOCK_ROWS = 4096
-#: Bytes of text whose pairs meet in one task.
-BUCKET_BYTES = 16 << 20
-END = b"\n"  # no word holds white space
-
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text (bytes), train, part: the block of a row by its place in its partition.
-
-    Two passes over one DataFrame must see the same partitions, as scans do; the scorer raises where a
-    block lacks a word that it holds.
-    """
-    at = F.monotonically_increasing_id()
-    part = F.shiftright(at, 33) * (1 << 21) + F.shiftright(at.bitwiseAND(F.lit((1 << 33) - 1)), BLOCK_ROWS.bit_length() - 1)
-    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
-    return text_rows(docs, train.alias("train"), part.alias("part"))
-
-
-class _Words:
-    """Per block: every word and end with its count in training documents."""
-
-    def __init__(self):
-        self.part, self.count, self.other = None, Counter(), set()
-
-    def __call__(self, b):
-        for part, text, train in zip(b.column("part").to_pylist(), b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
-            if part != self.part:
-                yield from self.end()
-                self.part, self.count, self.other = part, Counter(), set()
-            w = words(text)
-            w.append(END)
-            if train:
-                self.count.update(w)
-            else:
-                self.other.update(w)
-
-    def end(self):
-        if self.part is not None:
-            own = [x for x in self.other if x not in self.count]
-            w = [*self.count, *own]
-            yield {"part": np.full(len(w), self.part), "word": w, "n": np.concatenate([np.fromiter(self.count.values(), np.int64, len(self.count)), np.zeros(len(own), np.int64)])}
-        self.part = None
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(part, word, total, own): the training count of each word of each block; one row a word has own."""
-    each = map_batches(rows.select("part", "text", "train"), _Words, "part long, word binary, n long")
-    by = Window.partitionBy("word")
-    return each.select("part", "word", F.sum("n").over(by).alias("total"), (F.min("part").over(by) == F.col("part")).alias("own"))
+from .common import documents, map_batches, stored, text_rows
+
+#: m(c) of the states of one and of two words, chosen on a ninth of the training texts of the 0.1 scale (remainder 1).
+WEIGHT, POWER = (16.0, 1.0), (0.7, 0.85)
+#: Bytes of text of one block, and of one range of hashes.
+BLOCK_BYTES = 12 << 20
+_END, _START = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"\n", b"\r"))  # no word holds white space
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _B
+    h = (h ^ (h >> np.uint64(27))) * _C
+    return h ^ (h >> np.uint64(31))
+
+
+class Tokens:
+    """The tokens of some texts laid end to end, each text closed by an end: hashes of words, pairs and triples."""
+
+    def __init__(self, texts: pa.Array):
+        n = len(texts)
+        texts = texts.cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        lower = pa.py_buffer(data.to_pybytes().lower()) if data else pa.py_buffer(b"")  # bytes: A-Z alone
+        split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), n, [None, offsets, lower], offset=texts.offset))
+        flat, ends = split.flatten(), split.offsets.to_numpy()
+        full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an edge leaves an empty part
+        starts = np.concatenate([[0], np.cumsum(full)])[ends - ends[0]]  # of each text among the words
+        named = (flat if full.all() else flat.filter(pa.array(full))).dictionary_encode()
+        held = named.dictionary
+        raw, at = (held.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1].tolist()
+        own = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in pairwise(at)), np.uint64, len(held))
+        #: tokens of each text, the end among them, and the place of its first
+        self.sizes = np.diff(starts) + 1
+        self.first = np.cumsum(self.sizes) - self.sizes
+        last = self.first + self.sizes - 1
+        k, total = len(held), int(self.sizes.sum())
+        self.ids = np.full(total, k, np.int64)
+        inner = np.ones(total, bool)
+        inner[last] = False
+        self.ids[inner] = named.indices.to_numpy()
+        self.words = np.append(own, _END)
+        here = self.words[self.ids]
+        before = np.roll(here, 1)
+        before[self.first] = _START
+        #: pair of each place (with the start at a text's first) and triple of each place but a text's first
+        self.pairs = _mix(before * _A ^ (here + _B)) >> np.uint64(8)
+        two = np.roll(before, 1)
+        self.triples = _mix(_mix(two * _C ^ (before + _A)) * _A ^ (here + _C)) >> np.uint64(8)
+        self.inner = np.ones(total, bool)
+        self.inner[self.first] = False
+
+    def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes in order, with their counts in the texts of ``train``: words, then pairs and triples."""
+        mine = np.repeat(train, self.sizes)
+        n = np.bincount(self.ids[mine], minlength=len(self.words))
+        order = np.argsort(self.words, kind="stable")
+        # the lowest bit says whether a place is of a training text, so that one sort tells both
+        both = np.concatenate([self.pairs << np.uint64(1) | mine, (self.triples << np.uint64(1) | mine)[self.inner]])
+        both.sort()
+        at = np.flatnonzero(np.diff(both >> np.uint64(1), prepend=np.uint64(0xFFFFFFFFFFFFFFFF)))
+        count = np.add.reduceat((both & np.uint64(1)).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        return self.words[order], n[order], both[at] >> np.uint64(1), count
+
+    def spread(self, words: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts given in the order of counted(), laid on the places: of words, pairs, triples (0 at a text's first)."""
+        each = np.empty(len(self.words), np.int64)
+        each[np.argsort(self.words, kind="stable")] = words
+        both = np.concatenate([self.pairs, self.triples[self.inner]])
+        held = np.sort(both)
+        held = held[np.flatnonzero(np.diff(held, prepend=~held[:1]))]
+        if len(held) != len(grams):
+            raise _moved()
+        laid = grams[places(held, both)]
+        triples = np.zeros(len(self.ids), np.int64)
+        triples[self.inner] = laid[len(self.ids) :]
+        return each[self.ids], laid[: len(self.ids)], triples
+
+
+def places(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key, a 56-bit hash, stands among the distinct held ones in order: from its high bits, then on."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    bits = min(24, max(1, len(held).bit_length()))
+    shift = np.uint64(56 - bits)
+    start = np.concatenate([[0], np.cumsum(np.bincount((held >> shift).view(np.int64), minlength=1 << bits))])
+    at = start[(keys >> shift).view(np.int64)]
+    todo = np.flatnonzero(held[at] != keys)
+    while len(todo):
+        at[todo] += 1
+        todo = todo[held[at[todo]] != keys[todo]]
+    return at
+
+
+def _moved() -> RuntimeError:
+    return RuntimeError("the documents' partitions changed between passes; write them to a table first")
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -90,70 +134,93 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
 
 
-def pair_hashes(held: list[bytes], codes: np.ndarray) -> np.ndarray:
-    """The hash of each pair, code = state * (len(held) + 1) + word, the last state being the start."""
-    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in [*held, b""]), np.uint64, len(held) + 1)
-    state, word = codes // len(own), codes % len(own)
-    h = own[state] * np.uint64(0x9E3779B97F4A7C15) ^ (own[word] + np.uint64(0xD6E8FEB86659FD93))
-    for shift in (32, 29):  # mixed, as ranges go by the high bits
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+def _cuts(hashes: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    edges = np.array([(j << bits) // ranges for j in range(1, ranges)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
-def pair_codes(ids: np.ndarray, k: int) -> np.ndarray:
-    """The codes of a text's pairs, from its words' places among k held ones."""
-    return np.concatenate([[k], ids[:-1]]) * (k + 1) + ids
+class _Blocks:
+    """Rows of a partition in blocks of some BLOCK_BYTES of text, each given a number that both passes agree on."""
 
-
-class _Pairs:
-    """Per block: the hashes of its pairs in order, with their counts in training documents, by range."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.part = buckets, None
+    def __init__(self, limit: int):
+        self.limit, self.rows, self.size, self.number = limit, [], 0, TaskContext.get().partitionId() << 32
 
     def __call__(self, b):
-        for part, text, train in zip(b.column("part").to_pylist(), b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
-            if part != self.part:
+        each = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < b.num_rows:
+            to = at + int(np.searchsorted(np.cumsum(each[at:]), max(1, self.limit - self.size), "left")) + 1
+            part = b.slice(at, to - at)
+            self.rows.append(part)
+            self.size += int(each[at:to].sum())
+            at = to
+            if self.size >= self.limit:
                 yield from self.end()
-                self.part, self.place, self.ids, self.train = part, {}, [], []
-            w = words(text)
-            w.append(END)
-            self.ids.append(np.fromiter((self.place.setdefault(x, len(self.place)) for x in w), np.int64, len(w)))
-            self.train.append(train)
 
     def end(self):
-        if self.part is None:
-            return
-        k = len(self.place)
-        codes = np.concatenate([pair_codes(x, k) for x in self.ids])
-        train = np.repeat(self.train, [len(x) for x in self.ids])
-        codes, at = np.unique(codes, return_inverse=True)
-        n = np.bincount(at[train], minlength=len(codes))
-        hashes, at = np.unique(pair_hashes(list(self.place), codes), return_inverse=True)
-        n = np.bincount(at, weights=n, minlength=len(hashes)).astype(np.uint64)
-        edges = np.array([(j << 64) // self.buckets for j in range(1, self.buckets)], np.uint64)
-        cut = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
-        full = np.flatnonzero(np.diff(cut))
-        spans = [slice(cut[j], cut[j + 1]) for j in full]
-        yield {"part": np.full(len(full), self.part), "bucket": full, "hashes": [pack(np.diff(hashes[x], prepend=np.uint64(0))) for x in spans], "n": [pack(n[x]) for x in spans]}
-        self.part = None
+        if self.rows:
+            t = pa.Table.from_batches(self.rows).combine_chunks()
+            yield self.block(self.number, t)
+        self.rows, self.size, self.number = [], 0, self.number + 1
+
+
+class _Counts(_Blocks):
+    """Per block: its distinct hashes with their training counts, packed, by range."""
+
+    def __init__(self, limit: int, ranges: int):
+        super().__init__(limit)
+        self.ranges = ranges
+
+    def block(self, number, t):
+        words, n, grams, m = Tokens(t["text"].combine_chunks()).counted(t["train"].to_numpy())
+        cw, cg = _cuts(words, 64, self.ranges), _cuts(grams, 56, self.ranges)
+        full = np.flatnonzero((np.diff(cw) > 0) | (np.diff(cg) > 0))
+        out = {"part": np.full(len(full), number), "bucket": full, "words": [], "n": [], "grams": [], "m": []}
+        for j in full.tolist():
+            w, g = slice(cw[j], cw[j + 1]), slice(cg[j], cg[j + 1])
+            out["words"].append(pack(np.diff(words[w], prepend=np.uint64(0))))
+            out["grams"].append(pack(np.diff(grams[g], prepend=np.uint64(0))))
+            out["n"].append(pack(n[w]))
+            out["m"].append(pack(m[g]))
+        return out
+
+
+class _Texts(_Blocks):
+    """Per block: its documents in one row, the texts compressed."""
+
+    def block(self, number, t):
+        texts = t["text"].combine_chunks()
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        data = b"".join(texts.to_pylist())
+        return {"part": [number], "ids": pa.array([t["doc_id"].to_pylist()], pa.list_(t.schema.field("doc_id").type)), "train": [t["train"].to_pylist()], "sizes": [sizes], "size": [len(data)], "data": [pa.compress(data, "zstd", asbytes=True)]}
+
+
+def _summed(packed: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct hashes, their totals, and the totals in the order of each block's hashes."""
+    hashes = [np.cumsum(unpack(x), dtype=np.uint64) for x in packed]
+    each, n = np.concatenate(hashes), np.concatenate([unpack(x) for x in counts]).astype(np.int64)
+    order = np.argsort(each, kind="stable")
+    ranked = each[order]
+    at = np.flatnonzero(np.diff(ranked, prepend=~ranked[:1])) if len(ranked) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
+    laid = np.empty(len(each), np.int64)
+    laid[order] = np.repeat(total, np.diff(np.append(at, len(each))))
+    return ranked[at], total, np.split(laid, np.cumsum([len(x) for x in hashes])[:-1])
 
 
 def _totals(t: pa.Table) -> pa.Table:
-    """The counts of one range of hashes, over all blocks, for each block in the order of its hashes."""
-    hashes = [np.cumsum(unpack(x), dtype=np.uint64) for x in t["hashes"].to_pylist()]
-    at = np.unique(np.concatenate(hashes), return_inverse=True)[1]
-    n = np.bincount(at, weights=np.concatenate([unpack(x) for x in t["n"].to_pylist()])).astype(np.uint64)[at]
-    cut = np.cumsum([len(x) for x in hashes])[:-1]
-    return pa.table({"part": t["part"], "bucket": t["bucket"], "n": pa.array([pack(x) for x in np.split(n, cut)], pa.binary())})
-
-
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """(part, bucket, n): packed training counts of each block's pairs, by the range and order of their hashes."""
-    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = -(-size // BUCKET_BYTES) or 1
-    each = map_batches(rows.select("part", "text", "train"), lambda: _Pairs(buckets), "part long, bucket long, hashes binary, n binary")
-    return each.groupBy("bucket").applyInArrow(_totals, "part long, bucket long, n binary")
+    """The totals of one range for each block, and one row more (part -1) with sums over the range's words."""
+    words, total, own = _summed(t["words"].to_pylist(), t["n"].to_pylist())
+    grams = _summed(t["grams"].to_pylist(), t["m"].to_pylist())[2]
+    end = int(total[words == _END].sum())
+    sums = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum(), end], np.int64)
+    return pa.table({
+        "part": pa.concat_arrays([t["part"].combine_chunks(), pa.array([-1], pa.int64())]) if t.num_rows else pa.array([-1], pa.int64()),
+        "bucket": pa.array([*t["bucket"].to_pylist(), t["bucket"][0].as_py()], pa.int64()),
+        "n": pa.array([*map(pack, own), b""], pa.binary()),
+        "m": pa.array([*map(pack, grams), b""], pa.binary()),
+        "sums": pa.array([*[None] * t.num_rows, sums.tolist()], pa.list_(pa.int64())),
+    })
 
 
 class Root:
@@ -169,92 +236,88 @@ class Root:
         return np.where(c > 0, (c - self.discount) / self.n, self.discount * self.v / self.n)
 
 
-class Automaton:
-    """The part over some words: states 0..k-1 are the words, k the start of a text; failure arcs lead to the root."""
-
-    def __init__(self, root: Root, counts: np.ndarray, codes: np.ndarray, pairs: np.ndarray):
-        self.start = len(counts)
-        low = root.unigram(counts)
-        self.root = np.log10(low)
-        seen = pairs > 0
-        self.codes = codes[seen]  # in order
-        state, word = self.codes // (self.start + 1), self.codes % (self.start + 1)
-        total = np.append(counts, root.starts).astype(np.float64)
-        m = ARC_WEIGHT * np.maximum(total, 1) ** ARC_POWER
-        self.arcs = np.log10((pairs[seen] + m[state] * low[word]) / (total + m)[state])
-        self.backoff = np.log10(m / (total + m))
-
-    def walk(self, ids: np.ndarray) -> float:
-        """log10 probability of a text's words, the end among them."""
-        code = pair_codes(ids, self.start)
-        out = self.backoff[code // (self.start + 1)] + self.root[ids]
-        if len(self.codes):
-            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = self.codes[place] == code
-            out[hit] = self.arcs[place[hit]]
-        return float(out.sum())
-
-
-def train(counts: DataFrame) -> Root:
-    """The unigrams' totals from stored word_counts()."""
-    own = counts.where("own and total > 0")
-    s = own.agg(F.sum("total"), F.count("*"), F.count_if(F.col("total") == 1), F.count_if(F.col("total") == 2), F.max(F.when(F.col("word") == F.lit(END), F.col("total")))).first()
-    n, v, n1, n2, starts = (int(x or 0) for x in s)
-    discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-    return Root(n, v, starts, discount)
-
-
-def local(texts: pa.Table, own: pa.Table, root: Root) -> tuple[list[np.ndarray], np.ndarray, Automaton]:
-    """The places of a block's words text by text, the words' training counts, and its part of the automaton."""
-    given = own.filter(pa.compute.is_valid(own["word"]))
-    held, total = given["word"].to_pylist(), given["total"].to_numpy()
-    place = {w: i for i, w in enumerate(held)}
-    ids = []
-    try:
-        for text in texts["text"].to_pylist():
-            w = words(text)
-            w.append(END)
-            ids.append(np.fromiter(map(place.__getitem__, w), np.int64, len(w)))
-        codes = np.unique(np.concatenate([pair_codes(x, len(held)) for x in ids]))
-        hashes, at = np.unique(pair_hashes(held, codes), return_inverse=True)
-        packed = own.filter(pa.compute.is_valid(own["n"])).sort_by("bucket")["n"].to_pylist()
-        pairs = np.concatenate([unpack(x) for x in packed]).astype(np.int64)
-        if len(pairs) != len(hashes):
-            raise KeyError
-    except KeyError as e:
-        raise RuntimeError("the documents' partitions changed between passes; write them to a table first") from e
-    return ids, total, Automaton(root, total, codes, pairs[at])
-
-
-def score(docs: DataFrame) -> DataFrame:
+def arcs(order: int, state: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the arcs out of states of ``order`` words, and the weights of their failure arcs.
+
+    ``state`` and ``seen`` are training counts of the state and of the state with the next word, ``lower`` is that
+    word's probability from the state that the failure arc leads to. A state never seen is none: its failure arc
+    costs nothing, so that the walk stands in the next lower one.
+    """
+    m = WEIGHT[order - 1] * np.maximum(state, 1).astype(np.float64) ** POWER[order - 1]
+    total = np.where(state > 0, state + m, m)
+    return (seen + m * lower) / total, m / total
+
+
+def walk(root: Root, tokens: Tokens, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> np.ndarray:
+    """log10 probability of each text, from the training counts of the word, pair and triple at each place.
+
+    The walk stands, before each word, in the state of the two words before it if training held that pair, else in
+    that of the word before it, else at the root. As this state depends on two words alone, the walks of all texts
+    are taken at once: the states first, then the arc of each, or its failure arcs down to a state that has one.
+    """
+    before = np.roll(words, 1)
+    before[tokens.first] = root.starts
+    two = np.roll(pairs, 1)
+    two[tokens.first] = 0
+    low = root.unigram(words)
+    out = np.log10(low)
+    arc, fail = arcs(1, before, pairs, low)
+    has = pairs > 0
+    out = np.where(has, np.log10(arc), np.log10(fail) + out)
+    arc, fail = arcs(2, two, triples, np.where(has, arc, fail * low))
+    out = np.where(triples > 0, np.log10(arc), np.log10(fail) + out)
+    return np.add.reduceat(out, tokens.first) if len(out) else np.zeros(0)
+
+
+def score(docs: DataFrame, scanned: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Training documents: crc32(doc_id as text) mod 10 is not 0 (a null doc_id counts as an empty text, and is
     held out). A null or empty text is its end alone. Nothing to train on: every word is unknown, at log10
-    probability 0. Equal rows score alike.
+    probability 0. Equal rows score alike; an empty table gives no rows. A text is held whole by one task. Two passes
+    must see the same partitions, so the documents are written to a table first, unless they are ``scanned`` from one.
     """
-    rows = blocks(docs)
-    counts = stored(word_counts(rows), "words")
-    root = train(counts)
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
+    rows = text_rows(docs, train.alias("train"))
+    if not scanned:
+        rows = stored(rows, "texts")
+    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    limit = BLOCK_BYTES
+    ranges = -(-size // limit) or 1
+    asked = map_batches(rows.select("doc_id", "text", "train"), lambda: _Counts(limit, ranges), "part long, bucket long, words binary, n binary, grams binary, m binary")
+    given = stored(asked.groupBy("bucket").applyInArrow(_totals, "part long, bucket long, n binary, m binary, sums array<long>"), "counts")
+    sums = given.where("part = -1").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(5)]).first()
+    n, v, n1, n2, starts = (int(x or 0) for x in sums)
+    root = Root(n, v, starts, min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def block(texts: pa.Table, own: pa.Table) -> pa.Table:
-        ids, c, m = local(texts, own, root)
-        log = np.log10((c + 0.1) / (root.n + 0.1 * (root.v + 1)))
+    texts = map_batches(rows.select("doc_id", "text", "train"), lambda: _Texts(limit), f"part long, ids array<{kind}>, train array<boolean>, sizes array<int>, size long, data binary")
+
+    def block(own: pa.Table, counts: pa.Table) -> pa.Table:
+        counts = counts.sort_by("bucket")
+        sizes = own["sizes"].combine_chunks().flatten().to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        data = pa.decompress(own["data"][0].as_py(), own["size"][0].as_py(), "zstd", asbytes=True)
+        t = Tokens(pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+        words, grams = (np.concatenate([np.zeros(0, np.uint64), *(unpack(x) for x in counts[c].to_pylist())]).astype(np.int64) for c in ("n", "m"))
+        if len(words) != len(t.words):
+            raise _moved()
+        words, pairs, triples = t.spread(words, grams)
+        base = np.log10((words + 0.1) / (root.n + 0.1 * (root.v + 1)))
+        add = lambda x: np.add.reduceat(x, t.first)
         return pa.table({
-            "doc_id": texts["doc_id"],
-            "held_out": pa.compute.invert(texts["train"]),
-            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-            "n_known": pa.array([int((c[x] > 0).sum()) for x in ids], pa.int64()),
-            "train_tokens": pa.array([root.n] * len(texts), pa.int64()),
-            "base_score": pa.array([float(log[x].sum()) for x in ids], pa.float64()),
-            "score": pa.array([m.walk(x) for x in ids], pa.float64()),
+            "doc_id": own["ids"].combine_chunks().flatten(),
+            "held_out": pc.invert(own["train"].combine_chunks().flatten()),
+            "n_tokens": pa.array(t.sizes, pa.int64()),
+            "n_known": pa.array(add((words > 0).astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array(np.full(len(sizes), root.n), pa.int64()),
+            "base_score": pa.array(add(base), pa.float64()),
+            "score": pa.array(walk(root, t, words, pairs, triples), pa.float64()),
         })
 
-    asked = counts.select("part", "word", "total").unionByName(pair_counts(rows), allowMissingColumns=True)
-    return rows.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(block, schema)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    wanted = given.where("part >= 0").select("part", "bucket", "n", "m")
+    return texts.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(block, schema)
 
 
 def op7_ngram_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir))
+    return score(documents(spark, sf_dir), scanned=True)

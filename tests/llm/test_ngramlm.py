@@ -1,0 +1,148 @@
+"""The automaton against one of plain dictionaries, walked word by word."""
+
+import random
+import zlib
+from collections import Counter
+from math import log10
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from reckon.llm import ngramlm
+
+SCHEMA = "doc_id long, text string, lang string, part long, train string, n int"
+
+
+def table(spark, texts, ids=None):
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", 7, "x", 1) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+def varied(seed, n):
+    r = random.Random(seed)
+    vocab = ["alpha", "Beta", "gamma", "n\u00e9", "delta.", "x1", "the", "of", "\u6f22\u5b57", "a\u00a0b"]
+    out = [None, "", " \n\t ", "one", " two\x0bwords\x0c", "word " * 3000, "x" * 5000]
+    while len(out) < n:
+        out.append(r.choice(["", "\n"]).join(r.choice(vocab) + r.choice([" ", "  ", "\r\n"]) for _ in range(r.randint(1, 60))))
+    return out + out[-3:]
+
+
+def tokens(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        lower = lower.replace(c, " ")
+    return [*(w for w in lower.split(" ") if w), "\n"]
+
+
+def trained(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 10 != 0
+
+
+class Plain:
+    """States are tuples of words; the start is the tuple of None."""
+
+    def __init__(self, texts):
+        self.c = Counter(w for t in texts for w in t)
+        self.n, self.v, ones, twos = self.c.total(), len(self.c), *(sum(x == k for x in self.c.values()) for k in (1, 2))
+        self.d = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        self.seen = Counter()
+        for t in texts:
+            w = [None, *t]
+            self.seen.update([(None,)], )
+            self.seen.update((x,) for x in t)
+            self.seen.update(zip(w, w[1:], strict=False))
+            self.seen.update(zip(w, w[1:], w[2:], strict=False))
+
+    def low(self, w):
+        return ((self.c[w] - self.d) / self.n if self.c[w] else self.d * self.v / self.n) if self.n else 1.0
+
+    def arc(self, state, w):
+        """Probability of the arc, whether there is one or the failure arcs lead on."""
+        if not state:
+            return self.low(w)
+        m = ngramlm.WEIGHT[len(state) - 1] * self.seen[state] ** ngramlm.POWER[len(state) - 1]
+        return (self.seen[*state, w] + m * self.arc(state[1:], w)) / (self.seen[state] + m)
+
+    def walk(self, words):
+        state, total = (None,) if self.seen[(None,)] else (), 0.0
+        for w in words:
+            while state and not self.seen[*state, w]:  # failure arcs
+                m = ngramlm.WEIGHT[len(state) - 1] * self.seen[state] ** ngramlm.POWER[len(state) - 1]
+                total += log10(m / (self.seen[state] + m))
+                state = state[1:]
+            total += log10(self.arc(state, w))
+            state = (*state, w)[-2:]
+            while state and not self.seen[state]:
+                state = state[1:]
+        return total
+
+
+def check(got, texts, ids):
+    words = [tokens(t) for t in texts]
+    plain = Plain([w for i, w in zip(ids, words, strict=True) if trained(i)])
+    want = Counter()
+    for i, w in zip(ids, words, strict=True):
+        base = sum(log10((plain.c[x] + 0.1) / (plain.n + 0.1 * (plain.v + 1))) for x in w)
+        want[i, not trained(i), len(w), sum(x in plain.c for x in w), plain.n, round(base, 5), round(plain.walk(w), 5)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
+
+
+@pytest.mark.parametrize("size", [12 << 20, 1000])
+def test_scores_against_a_plain_automaton(spark, monkeypatch, size):
+    monkeypatch.setattr(ngramlm, "BLOCK_BYTES", size)
+    texts = varied(17, 90)
+    ids = [None, *range(len(texts) - 1)]
+    check(ngramlm.score(table(spark, texts, ids).repartition(3, "doc_id")).collect(), texts, ids)
+
+
+def test_query_over_files(spark, tmp_path):
+    texts = varied(18, 120)
+    table(spark, texts).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = ngramlm.op7_ngram_automaton(spark, str(tmp_path)).collect()
+    check(got, texts, range(len(texts)))
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_small_blocks_in_one_process():
+    """Blocks cut by bytes hold every row once, in order, and equal arrays are packed and found again."""
+    texts = [x.encode() for x in ("a b c", "", "b c a b c", "A\u00c9 b", "c")] * 3
+    t = ngramlm.Tokens(pa.array(texts, pa.binary()))
+    train = np.array([i % 4 > 0 for i in range(len(texts))])
+    words, n, grams, m = t.counted(train)
+    assert (np.diff(words.astype(object)) > 0).all() and (np.diff(grams.astype(object)) > 0).all()
+    w, p, q = t.spread(n, m)
+    each = [tokens(x.decode()) for x in texts]
+    plain = Plain([x for x, ok in zip(each, train, strict=True) if ok])
+    flat = [(None, *x) for x in each]
+    assert w.tolist() == [plain.c[x] for ws in flat for x in ws[1:]]
+    assert p.tolist() == [plain.seen[ws[i], ws[i + 1]] for ws in flat for i in range(len(ws) - 1)]
+    assert q.tolist() == [plain.seen[ws[i - 1 : i + 2]] if i else 0 for ws in flat for i in range(len(ws) - 1)]
+
+
+def test_every_state_sums_to_one():
+    r = random.Random(14)
+    texts = [[r.choice("abcdefgh") for _ in range(r.randint(0, 9))] + ["\n"] for _ in range(30)]
+    plain = Plain(texts)
+    for state in [(), (None,), *((x,) for x in "abc"), *(s for s in plain.seen if len(s) == 2 and s[1] != "\n")]:
+        assert abs(sum(plain.arc(state, w) for w in [*plain.c, "?"]) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("values", [[], [0], [1, 255, 256, 2**64 - 1]])
+def test_packed_numbers(values):
+    assert ngramlm.unpack(ngramlm.pack(np.array(values, np.uint64))).tolist() == values
+
+
+def test_places_of_hashes():
+    r = np.random.default_rng(3)
+    held = np.unique(np.concatenate([r.integers(0, 1 << 56, 5000, np.uint64), np.arange(40, dtype=np.uint64), (1 << 56) - 1 - np.arange(3, dtype=np.uint64)]))
+    keys = r.permutation(np.repeat(held, 2))
+    assert (held[ngramlm.places(held, keys)] == keys).all()
+
+
+def test_nothing_to_train_on_and_empty_table(spark):
+    held = next(i for i in range(99) if not trained(i))
+    r = ngramlm.score(table(spark, ["a b"], [held])).collect()[0]
+    assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+    assert ngramlm.score(table(spark, [])).count() == 0

@@ -6,7 +6,6 @@ import random
 import zlib
 from collections import Counter
 from itertools import combinations
-from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reckon.llm import audio, bpe, linededup, ngramlm, pii, resampling, sharding, simhash, toxicity
+from reckon.llm import audio, bpe, linededup, pii, resampling, sharding, simhash, toxicity
 from reckon.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part long, total string"
@@ -307,81 +306,6 @@ def test_line_dedup_of_many_blank_lines(spark):
     assert got == {1: (text, 0), 2: ("", 3001)}
 
 
-# --- Language model
-
-
-def test_language_model(spark):
-    texts = awkward(13, 200)
-    df = table(spark, texts)
-    got = {r.doc_id: r for r in ngramlm.score(df).collect()}
-    tokens = {i: [*(x for x in (t or "").encode().lower().split()), b"\n"] for i, t in enumerate(texts)}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for i in train for w in tokens[i])
-    n, v = sum(c.values()), len(c)
-    for i, w in tokens.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(w), sum(x in c for x in w), n)
-        assert abs(r.base_score - sum(log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) < 1e-6 * len(w)
-        assert r.score < 0
-    held = [i for i in tokens if i not in train]
-    assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
-
-
-def test_whole_language_model_against_brute_force(spark, monkeypatch):
-    """Blocks of four rows and many ranges of hashes: every pair counts, however rare."""
-    monkeypatch.setattr(ngramlm, "BLOCK_ROWS", 4)
-    monkeypatch.setattr(ngramlm, "BUCKET_BYTES", 1000)
-    texts = awkward(17, 90)
-    got = {r.doc_id: r.score for r in ngramlm.score(table(spark, texts).repartition(3, "doc_id").sortWithinPartitions("doc_id")).collect()}
-    tokens = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in enumerate(texts)}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for i in train for w in tokens[i])
-    pairs = Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i], strict=False))
-    n, v = sum(c.values()), len(c)
-    n1, n2 = (sum(x == k for x in c.values()) for k in (1, 2))
-    d = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-    low = lambda w: (c[w] - d) / n if c[w] else d * v / n
-    for i, w in tokens.items():
-        want = 0.0
-        for u, x in zip([None, *w], w, strict=False):
-            k = len(train) if u is None else c[u]
-            m = ngramlm.ARC_WEIGHT * max(k, 1) ** ngramlm.ARC_POWER
-            want += log10((pairs[u, x] + m * low(x)) / (k + m))
-        assert abs(got[i] - want) < 1e-6 * len(w)
-
-
-def test_every_state_sums_to_one():
-    r = random.Random(14)
-    c = np.array([r.randint(1, 50) for _ in range(30)])
-    root = ngramlm.Root(int(c.sum()), len(c), 7, 0.5)
-    k = len(c) + 1  # and the class of unknown words
-    counts = np.append(c, 0)
-    pairs = {}
-    for u, total in [*enumerate(counts.tolist()), (k, root.starts)]:
-        for _ in range(total):
-            code = u * (k + 1) + r.randrange(k - 1)
-            pairs[code] = pairs.get(code, 0) + 1
-    codes = np.array(sorted(pairs))
-    m = ngramlm.Automaton(root, counts, codes, np.array([pairs[x] for x in codes.tolist()]))
-    assert abs((10**m.root).sum() - 1) < 1e-9
-    for u in range(k + 1):
-        arcs = dict(zip(m.codes.tolist(), m.arcs.tolist(), strict=True))
-        p = [10 ** arcs.get(u * (k + 1) + x, m.backoff[u] + m.root[x]) for x in range(k)]
-        assert abs(sum(p) - 1) < 1e-9
-
-
-@pytest.mark.parametrize("values", [[], [0], [1, 255, 256, 2**64 - 1]])
-def test_packed_numbers(values):
-    assert ngramlm.unpack(ngramlm.pack(np.array(values, np.uint64))).tolist() == values
-
-
-def test_language_model_with_nothing_to_train_on(spark):
-    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
-    r = ngramlm.score(table(spark, ["a b"], [held])).collect()[0]
-    assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
-    assert ngramlm.score(table(spark, [])).count() == 0
-
-
 # --- Importance resampling
 
 
@@ -447,7 +371,7 @@ def test_chain_without_labels(spark):
 # --- All
 
 
-@pytest.mark.parametrize("f", [simhash.simhash_groups, simhash.simhash_dedup, sharding.shard_rows, bpe.bpe_digests, linededup.dedup_lines, pii.redact, audio.audio_columns, ngramlm.score])
+@pytest.mark.parametrize("f", [simhash.simhash_groups, simhash.simhash_dedup, sharding.shard_rows, bpe.bpe_digests, linededup.dedup_lines, pii.redact, audio.audio_columns])
 def test_empty_tables_and_odd_names(spark, f):
     assert f(table(spark, [])).count() == 0
     assert f(table(spark, ["a b c d e", None, "a b c d e"], [1, None, 1])).count() >= 1
