@@ -11,7 +11,7 @@ With m(c) = WEIGHT * c ** POWER pseudo-tokens, the arc of w after a state s seen
 
 Counts: documents form blocks of some BLOCK_BYTES in the order of their partition. A block tokenises its texts, and
 asks for the training counts of its words, pairs and triples by 64-bit (pairs and triples: 56-bit) hashes, packed by
-ranges of the hash, as many ranges as the texts have BLOCK_BYTES. Totals of a range go back to the blocks in the
+ranges of the hash, as many ranges as the texts have RANGE_BYTES. Totals of a range go back to the blocks in the
 order of their hashes, where they meet the block's texts. Nothing is broadcast or collected but five totals.
 """
 
@@ -31,8 +31,8 @@ from .common import documents, map_batches, stored, text_rows
 
 #: m(c) of the states of one and of two words, chosen on a ninth of the training texts of the 0.1 scale (remainder 1).
 WEIGHT, POWER = (16.0, 1.0), (0.7, 0.85)
-#: Bytes of text of one block, and of one range of hashes.
-BLOCK_BYTES = 12 << 20
+#: Bytes of text of one block, which takes some 40 times as much memory, and those whose hashes share a range.
+BLOCK_BYTES, RANGE_BYTES = 6 << 20, 12 << 20
 _END, _START = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"\n", b"\r"))  # no word holds white space
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -283,7 +283,7 @@ def score(docs: DataFrame, scanned: bool = False) -> DataFrame:
         rows = stored(rows, "texts")
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     limit = BLOCK_BYTES
-    ranges = -(-size // limit) or 1
+    ranges = -(-size // RANGE_BYTES) or 1
     asked = map_batches(rows.select("doc_id", "text", "train"), lambda: _Counts(limit, ranges), "part long, bucket long, words binary, n binary, grams binary, m binary")
     given = stored(asked.groupBy("bucket").applyInArrow(_totals, "part long, bucket long, n binary, m binary, sums array<long>"), "counts")
     sums = given.where("part = -1").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(5)]).first()

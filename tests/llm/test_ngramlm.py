@@ -91,6 +91,7 @@ def check(got, texts, ids):
 @pytest.mark.parametrize("size", [12 << 20, 1000])
 def test_scores_against_a_plain_automaton(spark, monkeypatch, size):
     monkeypatch.setattr(ngramlm, "BLOCK_BYTES", size)
+    monkeypatch.setattr(ngramlm, "RANGE_BYTES", size)
     texts = varied(17, 90)
     ids = [None, *range(len(texts) - 1)]
     check(ngramlm.score(table(spark, texts, ids).repartition(3, "doc_id")).collect(), texts, ids)
