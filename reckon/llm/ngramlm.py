@@ -32,7 +32,7 @@ from .common import documents, map_batches, stored, text_rows
 #: m(c) of the states of one and of two words, chosen on a ninth of the training texts of the 0.1 scale (remainder 1).
 WEIGHT, POWER = (16.0, 1.0), (0.7, 0.85)
 #: Bytes of text of one block, which takes some 40 times as much memory, and those whose hashes share a range.
-BLOCK_BYTES, RANGE_BYTES = 6 << 20, 12 << 20
+BLOCK_BYTES, RANGE_BYTES = 3 << 20, 12 << 20
 _END, _START = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"\n", b"\r"))  # no word holds white space
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -139,6 +139,14 @@ def _cuts(hashes: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
+def _steps(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """From each hash to the next; the first of each range stands whole."""
+    out = np.diff(hashes, prepend=np.uint64(0))
+    whole = cuts[:-1][np.diff(cuts) > 0]
+    out[whole] = hashes[whole]
+    return out
+
+
 class _Blocks:
     """Rows of a partition in blocks of some BLOCK_BYTES of text, each given a number that both passes agree on."""
 
@@ -160,7 +168,9 @@ class _Blocks:
     def end(self):
         if self.rows:
             t = pa.Table.from_batches(self.rows).combine_chunks()
+            self.rows = []
             yield self.block(self.number, t)
+            pa.default_memory_pool().release_unused()
         self.rows, self.size, self.number = [], 0, self.number + 1
 
 
@@ -176,10 +186,11 @@ class _Counts(_Blocks):
         cw, cg = _cuts(words, 64, self.ranges), _cuts(grams, 56, self.ranges)
         full = np.flatnonzero((np.diff(cw) > 0) | (np.diff(cg) > 0))
         out = {"part": np.full(len(full), number), "bucket": full, "words": [], "n": [], "grams": [], "m": []}
+        words, grams = _steps(words, cw), _steps(grams, cg)
         for j in full.tolist():
             w, g = slice(cw[j], cw[j + 1]), slice(cg[j], cg[j + 1])
-            out["words"].append(pack(np.diff(words[w], prepend=np.uint64(0))))
-            out["grams"].append(pack(np.diff(grams[g], prepend=np.uint64(0))))
+            out["words"].append(pack(words[w]))
+            out["grams"].append(pack(grams[g]))
             out["n"].append(pack(n[w]))
             out["m"].append(pack(m[g]))
         return out
@@ -197,15 +208,18 @@ class _Texts(_Blocks):
 
 def _summed(packed: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct hashes, their totals, and the totals in the order of each block's hashes."""
-    hashes = [np.cumsum(unpack(x), dtype=np.uint64) for x in packed]
-    each, n = np.concatenate(hashes), np.concatenate([unpack(x) for x in counts]).astype(np.int64)
+    sizes = [len(x) // 8 for x in packed]
+    ends = np.cumsum(sizes)
+    each, n = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.int64)
+    for end, size, x, y in zip(ends.tolist(), sizes, packed, counts, strict=True):
+        np.cumsum(unpack(x), dtype=np.uint64, out=each[end - size : end])
+        n[end - size : end] = unpack(y)
     order = np.argsort(each, kind="stable")
-    ranked = each[order]
-    at = np.flatnonzero(np.diff(ranked, prepend=~ranked[:1])) if len(ranked) else np.zeros(0, np.int64)
+    each = each[order]
+    at = np.flatnonzero(np.diff(each, prepend=~each[:1])) if len(each) else np.zeros(0, np.int64)
     total = np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
-    laid = np.empty(len(each), np.int64)
-    laid[order] = np.repeat(total, np.diff(np.append(at, len(each))))
-    return ranked[at], total, np.split(laid, np.cumsum([len(x) for x in hashes])[:-1])
+    n[order] = np.repeat(total, np.diff(np.append(at, len(each))))
+    return each[at], total, np.split(n, ends[:-1])
 
 
 def _totals(t: pa.Table) -> pa.Table:
