@@ -50,8 +50,10 @@ class Tokens:
         n = len(texts)
         texts = texts.cast(pa.large_binary())
         _, offsets, data = texts.buffers()
-        lower = pa.py_buffer(data.to_pybytes().lower()) if data else pa.py_buffer(b"")  # bytes: A-Z alone
-        split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), n, [None, offsets, lower], offset=texts.offset))
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+        own = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data else b""  # the buffer may hold more texts
+        lower = pa.py_buffer(own.lower())  # of bytes: A-Z alone
+        split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets - offsets[0]), lower]))
         flat, ends = split.flatten(), split.offsets.to_numpy()
         full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an edge leaves an empty part
         starts = np.concatenate([[0], np.cumsum(full)])[ends - ends[0]]  # of each text among the words
