@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, stored, text_rows
+from .common import documents, freed, map_batches, stored, text_rows
 
 #: m(c) of the states of one and of two words, chosen on a ninth of the training texts of the 0.1 scale (remainder 1).
 WEIGHT, POWER = (16.0, 1.0), (0.7, 0.85)
 #: Bytes of text of one block, which takes some 40 times as much memory, and those whose hashes share a range.
-BLOCK_BYTES, RANGE_BYTES = 3 << 20, 12 << 20
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 _END, _START = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"\n", b"\r"))  # no word holds white space
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -172,7 +172,7 @@ class _Blocks:
             t = pa.Table.from_batches(self.rows).combine_chunks()
             self.rows = []
             yield self.block(self.number, t)
-            pa.default_memory_pool().release_unused()
+            freed()
         self.rows, self.size, self.number = [], 0, self.number + 1
 
 
@@ -226,6 +226,7 @@ def _summed(packed: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.nd
 
 def _totals(t: pa.Table) -> pa.Table:
     """The totals of one range for each block, and one row more (part -1) with sums over the range's words."""
+    freed()
     words, total, own = _summed(t["words"].to_pylist(), t["n"].to_pylist())
     grams = _summed(t["grams"].to_pylist(), t["m"].to_pylist())[2]
     end = int(total[words == _END].sum())
@@ -309,6 +310,7 @@ def score(docs: DataFrame, scanned: bool = False) -> DataFrame:
     texts = map_batches(rows.select("doc_id", "text", "train"), lambda: _Texts(limit), f"part long, ids array<{kind}>, train array<boolean>, sizes array<int>, size long, data binary")
 
     def block(own: pa.Table, counts: pa.Table) -> pa.Table:
+        freed()
         counts = counts.sort_by("bucket")
         sizes = own["sizes"].combine_chunks().flatten().to_numpy()
         offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
