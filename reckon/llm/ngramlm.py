@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, freed, map_batches, stored, text_rows
+from .common import batches_of, documents, freed, map_batches, stored, text_rows
 
 #: m(c) of the states of one and of two words, chosen on a ninth of the training texts of the 0.1 scale (remainder 1).
 WEIGHT, POWER = (16.0, 1.0), (0.7, 0.85)
+#: Rows of one Arrow batch, on the way to Python and back.
+BATCH_ROWS = 256
 #: Bytes of text of one block, which takes some 40 times as much memory, and those whose hashes share a range.
 BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 _END, _START = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"\n", b"\r"))  # no word holds white space
@@ -226,10 +228,10 @@ def _summed(packed: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.nd
 
 def _totals(t: pa.Table) -> pa.Table:
     """The totals of one range for each block, and one row more (part -1) with sums over the range's words."""
-    freed()
     words, total, own = _summed(t["words"].to_pylist(), t["n"].to_pylist())
     grams = _summed(t["grams"].to_pylist(), t["m"].to_pylist())[2]
     end = int(total[words == _END].sum())
+    freed()
     sums = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum(), end], np.int64)
     return pa.table({
         "part": pa.concat_arrays([t["part"].combine_chunks(), pa.array([-1], pa.int64())]) if t.num_rows else pa.array([-1], pa.int64()),
@@ -294,6 +296,11 @@ def score(docs: DataFrame, scanned: bool = False) -> DataFrame:
     probability 0. Equal rows score alike; an empty table gives no rows. A text is held whole by one task. Two passes
     must see the same partitions, so the documents are written to a table first, unless they are ``scanned`` from one.
     """
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return stored(_scored(docs, scanned), "scores")
+
+
+def _scored(docs: DataFrame, scanned: bool) -> DataFrame:
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     rows = text_rows(docs, train.alias("train"))
     if not scanned:
