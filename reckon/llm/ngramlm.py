@@ -130,25 +130,31 @@ def _moved() -> RuntimeError:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers as planes of bytes, so that the empty high ones compress away."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Unsigned numbers as their planes of bytes, as many as the largest needs, after the number of planes."""
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").reshape(-1)
 
 
-def _cuts(hashes: np.ndarray, bits: int, ranges: int) -> np.ndarray:
-    edges = np.array([(j << bits) // ranges for j in range(1, ranges)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+def _edge(bucket: int, bits: int, ranges: int) -> int:
+    """The least hash of a range."""
+    return -(-(bucket << bits) // ranges)
 
 
-def _steps(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """From each hash to the next; the first of each range stands whole."""
+def _steps(hashes: np.ndarray, bits: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """From each hash to the next, from its range's least to the first of it; and where the ranges begin and end."""
+    edges = np.array([_edge(j, bits, ranges) for j in range(ranges)], np.uint64)
+    cuts = np.append(np.searchsorted(hashes, edges), len(hashes))
     out = np.diff(hashes, prepend=np.uint64(0))
-    whole = cuts[:-1][np.diff(cuts) > 0]
-    out[whole] = hashes[whole]
-    return out
+    full = np.flatnonzero(np.diff(cuts))
+    out[cuts[full]] = hashes[cuts[full]] - edges[full]
+    return out, cuts
 
 
 class _Blocks:
@@ -187,10 +193,9 @@ class _Counts(_Blocks):
 
     def block(self, number, t):
         words, n, grams, m = Tokens(t["text"].combine_chunks()).counted(t["train"].to_numpy())
-        cw, cg = _cuts(words, 64, self.ranges), _cuts(grams, 56, self.ranges)
+        (words, cw), (grams, cg) = _steps(words, 64, self.ranges), _steps(grams, 56, self.ranges)
         full = np.flatnonzero((np.diff(cw) > 0) | (np.diff(cg) > 0))
         out = {"part": np.full(len(full), number), "bucket": full, "words": [], "n": [], "grams": [], "m": []}
-        words, grams = _steps(words, cw), _steps(grams, cg)
         for j in full.tolist():
             w, g = slice(cw[j], cw[j + 1]), slice(cg[j], cg[j + 1])
             out["words"].append(pack(words[w]))
@@ -210,13 +215,14 @@ class _Texts(_Blocks):
         return {"part": [number], "ids": pa.array([t["doc_id"].to_pylist()], pa.list_(t.schema.field("doc_id").type)), "train": [t["train"].to_pylist()], "sizes": [sizes], "size": [len(data)], "data": [pa.compress(data, "zstd", asbytes=True)]}
 
 
-def _summed(packed: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _summed(packed: list[bytes], counts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct hashes, their totals, and the totals in the order of each block's hashes."""
-    sizes = [len(x) // 8 for x in packed]
+    sizes = [(len(x) - 1) // x[0] for x in packed]
     ends = np.cumsum(sizes)
     each, n = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.int64)
     for end, size, x, y in zip(ends.tolist(), sizes, packed, counts, strict=True):
         np.cumsum(unpack(x), dtype=np.uint64, out=each[end - size : end])
+        each[end - size : end] += np.uint64(least)
         n[end - size : end] = unpack(y)
     order = np.argsort(each, kind="stable")
     each = each[order]
@@ -226,16 +232,17 @@ def _summed(packed: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.nd
     return each[at], total, np.split(n, ends[:-1])
 
 
-def _totals(t: pa.Table) -> pa.Table:
+def _totals(t: pa.Table, ranges: int) -> pa.Table:
     """The totals of one range for each block, and one row more (part -1) with sums over the range's words."""
-    words, total, own = _summed(t["words"].to_pylist(), t["n"].to_pylist())
-    grams = _summed(t["grams"].to_pylist(), t["m"].to_pylist())[2]
+    bucket = t["bucket"][0].as_py()
+    words, total, own = _summed(t["words"].to_pylist(), t["n"].to_pylist(), _edge(bucket, 64, ranges))
+    grams = _summed(t["grams"].to_pylist(), t["m"].to_pylist(), _edge(bucket, 56, ranges))[2]
     end = int(total[words == _END].sum())
     freed()
     sums = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum(), end], np.int64)
     return pa.table({
-        "part": pa.concat_arrays([t["part"].combine_chunks(), pa.array([-1], pa.int64())]) if t.num_rows else pa.array([-1], pa.int64()),
-        "bucket": pa.array([*t["bucket"].to_pylist(), t["bucket"][0].as_py()], pa.int64()),
+        "part": pa.array([*t["part"].to_pylist(), -1], pa.int64()),
+        "bucket": pa.array([bucket] * (t.num_rows + 1), pa.int64()),
         "n": pa.array([*map(pack, own), b""], pa.binary()),
         "m": pa.array([*map(pack, grams), b""], pa.binary()),
         "sums": pa.array([*[None] * t.num_rows, sums.tolist()], pa.list_(pa.int64())),
@@ -309,7 +316,7 @@ def _scored(docs: DataFrame, scanned: bool) -> DataFrame:
     limit = BLOCK_BYTES
     ranges = -(-size // RANGE_BYTES) or 1
     asked = map_batches(rows.select("doc_id", "text", "train"), lambda: _Counts(limit, ranges), "part long, bucket long, words binary, n binary, grams binary, m binary")
-    given = stored(asked.groupBy("bucket").applyInArrow(_totals, "part long, bucket long, n binary, m binary, sums array<long>"), "counts")
+    given = stored(asked.groupBy("bucket").applyInArrow(lambda t: _totals(t, ranges), "part long, bucket long, n binary, m binary, sums array<long>"), "counts")
     sums = given.where("part = -1").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(5)]).first()
     n, v, n1, n2, starts = (int(x or 0) for x in sums)
     root = Root(n, v, starts, min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5)
