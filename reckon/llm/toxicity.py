@@ -128,24 +128,26 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, chain: di
     """Fit on at most ``limit`` labelled documents, those with the least hash of doc_id.
 
     Labels without a doc_id and labels that are null are left out; of several labels for one doc_id the
-    highest counts, of several documents with one doc_id any one.
+    highest counts, of several documents with one doc_id the text with the least 64-bit hash. Null and empty texts
+    have no words. Without labelled documents every probability is next to 0.
     """
     chain = chain or CHAIN
     named = labels.where("doc_id is not null").select(F.col("doc_id").alias("_rk_id"), *[F.expr(rule).cast("int").alias(f"_rk_y{i}") for i, rule in enumerate(chain.values())])
     named = named.groupBy("_rk_id").agg(*[F.max(f"_rk_y{i}").alias(f"_rk_y{i}") for i in range(len(chain))]).dropna()
     sample = named.orderBy(F.xxhash64("_rk_id"), "_rk_id").limit(limit)
-    joined = text_rows(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_rk_id")), *[F.col(f"_rk_y{i}") for i in range(len(chain))])
+    joined = text_rows(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_rk_id")), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_rk_th"), *[F.col(f"_rk_y{i}") for i in range(len(chain))])
 
     def make():
         seen = Seen()
 
         def f(b):
             own = [features(t.decode("utf-8", "replace"), seen) for t in b.column("text").to_pylist()]
-            return {"doc_id": b.column("doc_id"), "y": [list(y) for y in zip(*(b.column(f"_rk_y{i}").to_pylist() for i in range(len(chain))), strict=True)], "x": own}
+            return {"doc_id": b.column("doc_id"), "th": b.column("_rk_th"), "y": [list(y) for y in zip(*(b.column(f"_rk_y{i}").to_pylist() for i in range(len(chain))), strict=True)], "x": own}
 
         return f
 
-    found = map_batches(joined, make, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, y array<int>, x array<int>").dropDuplicates(["doc_id"]).toArrow()
+    each = map_batches(joined, make, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, th long, y array<int>, x array<int>")
+    found = each.groupBy("doc_id").agg(F.min_by("y", "th").alias("y"), F.min_by("x", "th").alias("x")).toArrow()
     order = np.argsort(np.array(found["doc_id"].to_pylist(), dtype=object), kind="stable")  # the same sums every time
     found = found.take(pa.array(order))
     y = np.array(found["y"].to_pylist(), np.int64).reshape(len(found), len(chain))
@@ -157,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, chain: di
 def classify(docs: DataFrame, model: Chain, names: list[str] | None = None) -> DataFrame:
     """The documents with a column p_<category> for each of the chain (named by ``names``).
 
-    Null and empty texts have no words: the models' intercepts decide.
+    Null and empty texts have no words: the models' intercepts decide. Equal texts have equal probabilities, repeated
+    rows stay, an empty table gives no rows, and a very long text counts whole, by its distinct words.
     """
     names = names or [f"p_{c}" for c in CHAIN]
     held = docs.sparkSession.sparkContext.broadcast(model)
