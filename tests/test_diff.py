@@ -36,49 +36,49 @@ def both(spark, tmp_path, a, b, **opt):
     return compare(spark, put(tmp_path, "a.csv", a), put(tmp_path, "b.csv", b), Options(**opt))
 
 
-SIMPLE = ("id,name,qty\n1,ann,5\n2,bob,7\n3,cid,9\n", "id,name,qty\n1,ann,5\n2,bob,8\n4,dee,1\n")
+SIMPLE = ("tree,leaf,rings\noak,lobed,120\nfir,needle,44\nash,pinnate,61\n", "tree,leaf,rings\noak,lobed,120\nfir,needle,45\nelm,toothed,9\n")
 
 
 def test_simple_pair_and_sections(spark, tmp_path):
-    r = both(spark, tmp_path, *SIMPLE, key=("id",))
+    r = both(spark, tmp_path, *SIMPLE, key=("tree",))
     assert {k: r.counts[k] for k in ("a_rows", "b_keys", "matched", "unchanged", "changed", "added", "removed")} == {"a_rows": 3, "b_keys": 3, "matched": 2, "unchanged": 1, "changed": 1, "added": 1, "removed": 1}
-    assert [(x["id"], [tuple(d) for d in x["diffs"]]) for x in r.changed().collect()] == [("2", [(1, "7", "8")])]
-    assert [tuple(x) for x in r.added().collect()] == [("4", "dee", "1")]
-    assert [tuple(x) for x in r.removed().collect()] == [("3", "cid", "9")]
+    assert [(x["tree"], [tuple(d) for d in x["diffs"]]) for x in r.changed().collect()] == [("fir", [(1, "44", "45")])]
+    assert [tuple(x) for x in r.added().collect()] == [("elm", "toothed", "9")]
+    assert [tuple(x) for x in r.removed().collect()] == [("ash", "pinnate", "61")]
     assert not r.identical
-    assert r.column_stats == [{"column": "name", "changed": 0, "blanked": 0, "filled": 0}, {"column": "qty", "changed": 1, "blanked": 0, "filled": 0}]
+    assert r.column_stats == [{"column": "leaf", "changed": 0, "blanked": 0, "filled": 0}, {"column": "rings", "changed": 1, "blanked": 0, "filled": 0}]
 
 
 def test_identical_and_quoted_empty(spark, tmp_path):
-    assert both(spark, tmp_path, SIMPLE[0], SIMPLE[0], key=("id",)).identical
-    assert both(spark, tmp_path, 'k,v\n1,\n2,""\n3,keep\n', 'k,v\n1,""\n2,\n3,keep\n', key=("k",)).counts["changed"] == 0
+    assert both(spark, tmp_path, SIMPLE[0], SIMPLE[0], key=("tree",)).identical
+    assert both(spark, tmp_path, 'river,town\n"Elbe",""\nOder,\nRhine,Bonn\n', 'river,town\nElbe,\nOder,""\nRhine,Bonn\n', key=("river",)).counts["changed"] == 0
 
 
 def test_first_occurrence_wins_in_file_order(spark, tmp_path):
-    r = both(spark, tmp_path, "k,v\n3,c\n1,first\n2,b\n1,second\n1,third\n", "k,v\n1,first\n2,b\n3,c\n", key=("k",))
+    r = both(spark, tmp_path, "hut,guest\nwest,Ida\nnorth,Otto\neast,Uwe\nnorth,Ada\nnorth,Bo\n", "hut,guest\nnorth,Otto\neast,Uwe\nwest,Ida\n", key=("hut",))
     assert (r.counts["changed"], r.counts["a_dup_keys"], r.counts["a_dup_rows"]) == (0, 1, 3)
-    assert [tuple(x) for x in r.duplicates("a").collect()] == [("1", 3)]
+    assert [tuple(x) for x in r.duplicates("a").collect()] == [("north", 3)]
 
 
 def test_normalising_and_tolerance(spark, tmp_path):
-    assert both(spark, tmp_path, "k,v,s\n1,10.00, Ann \n", "k,v,s\n1,10.004,ann\n", key=("k",), tolerance=0.01, trim=True, ignore_case=True).counts["changed"] == 0
-    r = both(spark, tmp_path, "k,v\n1,x\n2,\n", "k,v\n1,\n2,y\n", key=("k",))
-    assert r.column_stats == [{"column": "v", "changed": 2, "blanked": 1, "filled": 1}]
+    assert both(spark, tmp_path, "lot,kg,mark\nx7,3.250,  Blue Star\n", "lot,kg,mark\nx7,3.25401,blue star \n", key=("lot",), tolerance=0.005, trim=True, ignore_case=True).counts["changed"] == 0
+    r = both(spark, tmp_path, "gate,sign\nA,stop\nB,\n", "gate,sign\nA,\nB,slow\n", key=("gate",))
+    assert r.column_stats == [{"column": "sign", "changed": 2, "blanked": 1, "filled": 1}]
 
 
 @pytest.mark.parametrize(("trim", "empty", "n"), [(True, False, 1), (True, True, 0), (False, False, 3)])
 def test_trim_to_empty(spark, tmp_path, trim, empty, n):
-    r = both(spark, tmp_path, "id,v,w\nk1,  ,x\nk2,a,y\nk3,  ,z\nk4, b ,w\n", "id,v,w\nk1,,x\nk2,a,y\nk3,\t,z\nk4,b,w\n", key=("id",), trim=trim, empty_is_null=empty)
+    r = both(spark, tmp_path, "port,pilot,tide\nKiel,   ,low\nBrake,Jan,ebb\nEmden,  ,high\nHusum,\tPia ,low\n", "port,pilot,tide\nKiel,,low\nBrake,Jan,ebb\nEmden,\t,high\nHusum,Pia,low\n", key=("port",), trim=trim, empty_is_null=empty)
     assert r.counts["changed"] == n
 
 
 def test_delimiter_ragged_crlf_and_quoted_newline(spark, tmp_path):
-    assert both(spark, tmp_path, "k;v\n1;x\n", "k;v\n1;y\n", key=("k",)).counts["changed"] == 1
+    assert both(spark, tmp_path, "dish;spice\nsoup;salt\n", "dish;spice\nsoup;dill\n", key=("dish",)).counts["changed"] == 1
     assert sniff_delimiter("a|b|c,d") == "|" and sniff_delimiter("a,b;c") == ","
     assert both(spark, tmp_path, "k,v,w\r\n1,x,p\r\n\r\n2,y\r\n3,z,q,extra\r\n", "k,v,w\n1,x,CHANGED\n2,y,\n3,z,q\n", key=("k",)).counts["changed"] == 1
     r = both(spark, tmp_path, 'k,v\n"a\nb","say ""hi"", ok"\n', 'k,v\n"a\nb","say ""hi"", no"\n', key=("k",))
     assert [x["diffs"][0]["a"] for x in r.changed().collect()] == ['say "hi", ok']
-    assert both(spark, tmp_path, "k,one,two\nK1,a,b\nK2,p,q\n", "k,two,one\nK1,b,a\nK2,p,q\n", key=("k",)).counts["changed"] == 1
+    assert both(spark, tmp_path, "room,floor,wing\nblue,2,left\nred,5,right\n", "room,wing,floor\nblue,left,2\nred,5,right\n", key=("room",)).counts["changed"] == 1
 
 
 def test_null_keys_match_and_sort_last(spark, tmp_path):
@@ -97,7 +97,7 @@ def test_keys_that_trim_to_nothing_are_not_absent(spark, tmp_path):
 
 
 def test_one_shuffle_a_side(spark, tmp_path):
-    plan = both(spark, tmp_path, *SIMPLE, key=("id",)).joined._jdf.queryExecution().executedPlan().toString()
+    plan = both(spark, tmp_path, *SIMPLE, key=("tree",)).joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
 
 
@@ -109,19 +109,19 @@ def test_cap_is_the_smallest_keys(spark, tmp_path):
 
 
 def test_export_json_and_page(spark, tmp_path):
-    r = both(spark, tmp_path, *SIMPLE, key=("id",))
+    r = both(spark, tmp_path, *SIMPLE, key=("tree",))
     sinks.export(r, str(tmp_path / "deep" / "out"))
     rows = {n: list(csv.reader(open(tmp_path / "deep" / "out" / f"{n}.csv"))) for n in ("added", "removed", "changed")}
     assert all(len(x) == 2 for x in rows.values())
-    assert rows["changed"][0] == ["id", "name (A)", "name (B)", "qty (A)", "qty (B)"]
+    assert rows["changed"][0] == ["tree", "leaf (A)", "leaf (B)", "rings (A)", "rings (B)"]
     doc = sinks.to_json(r, "x/<a>.csv", "b.csv", 1.0)
-    assert set(doc) == {"meta", "counts", "columns"} and doc["meta"]["compared"] == ["name", "qty"]
+    assert set(doc) == {"meta", "counts", "columns"} and doc["meta"]["compared"] == ["leaf", "rings"]
     page = sinks.render_html(r, "x/<a>.csv", "b</script>.csv", 1.0)
     assert "<a>" not in page and "http" not in page.replace("http-equiv", "") and page.count("</script>") == 2
     packed = page.split('id="data">')[1].split("<")[0]
-    assert json.loads(gzip.decompress(b64decode(packed)))["sections"]["changed"]["rows"] == [["2", [[1, "7", "8"]]]]
+    assert json.loads(gzip.decompress(b64decode(packed)))["sections"]["changed"]["rows"] == [["fir", [[1, "44", "45"]]]]
     plain = sinks.render_html(r, "a", "b", 1.0, compress=False)
-    assert '[1,"7","8"]' in plain and len(plain) > 0
+    assert '[1,"44","45"]' in plain and len(plain) > 0
 
 
 def test_column_resolution():
@@ -184,17 +184,17 @@ def test_nested_columns_are_refused(spark):
 
 
 def _formats():
-    base = [[f"K-{i:04d}", "open", f"{i}.50", f"note {i}, \"q\"", None if i % 3 else "m"] for i in range(300)]
+    base = [[f"ship {i}", "at sea", f"{i}.25", f"berth {i}, \"east\"", None if i % 3 else "tug"] for i in range(240)]
     other = [list(r) for r in base]
     for i, r in enumerate(other):
-        if i % 4 == 0:
-            r[1] = "closed"
-        if i % 50 == 0:
+        if i % 5 == 0:
+            r[1] = "moored"
+        if i % 60 == 0:
             r[2] = None
-    return [*base, ["K-9999", "x", "1", "n", None]], [*other, ["K-9000", "x", "1", "n", None], list(other[0])]
+    return [*base, ["ship gone", "x", "1", "n", None]], [*other, ["ship new", "x", "1", "n", None], list(other[0])]
 
 
-NAMES = ["id", "status", "amount", "note", "maybe"]
+NAMES = ["vessel", "state", "draught", "berth", "helper"]
 
 
 def _write(path, rows, kind):
@@ -213,9 +213,9 @@ def _write(path, rows, kind):
 @pytest.mark.parametrize(("x", "y"), [("csv", "csv"), ("ndjson", "ndjson"), ("snappy", "snappy"), ("csv", "gzip"), ("zstd", "ndjson"), ("none", "csv")])
 def test_formats_agree_whatever_the_name(spark, tmp_path, x, y):
     a, b = _formats()
-    r = compare(spark, _write(tmp_path / "a.dat", a, x), _write(tmp_path / "b.csv", b, y), Options(key=("id",)))
-    assert tuple(r.counts.values()) == (301, 302, 301, 301, 0, 0, 1, 2, 300, 222, 78, 1, 1)
-    assert [(s["changed"], s["blanked"], s["filled"]) for s in r.column_stats] == [(75, 0, 0), (6, 6, 0), (0, 0, 0), (0, 0, 0)]
+    r = compare(spark, _write(tmp_path / "a.dat", a, x), _write(tmp_path / "b.csv", b, y), Options(key=("vessel",)))
+    assert tuple(r.counts.values()) == (241, 242, 241, 241, 0, 0, 1, 2, 240, 192, 48, 1, 1)
+    assert [(s["changed"], s["blanked"], s["filled"]) for s in r.column_stats] == [(48, 0, 0), (4, 4, 0), (0, 0, 0), (0, 0, 0)]
 
 
 def test_ndjson_members(spark, tmp_path):
@@ -270,36 +270,36 @@ def test_random_pairs_against_plain_python(spark, tmp_path, seed):
 
 def test_wide_tables_use_grouped_cells(spark):
     a, b = datagen.pair(spark, 400, columns=100)
-    r = compare(spark, a, b, Options(key=("account_id", "txn_id"), ignore=("updated_at",)))
+    r = compare(spark, a, b, Options(key=("depot", "parcel"), ignore=("touched_at",)))
     assert len(r.resolved.compared) == 97 and len(r.column_stats) == 97
-    assert {s["column"]: s["changed"] for s in r.column_stats}["note"] == 0
+    assert {s["column"]: s["changed"] for s in r.column_stats}["remark"] == 0
 
 
 def test_generator_shape(spark):
     a, b = datagen.pair(spark, 10_000)
-    r = compare(spark, a, b, Options(key=("account_id", "txn_id")))
+    r = compare(spark, a, b, Options(key=("depot", "parcel")))
     c = r.counts
     assert (c["a_rows"], c["b_rows"], c["added"], c["removed"], c["a_dup_keys"], c["b_dup_keys"]) == (10_001, 10_001, 10, 10, 1, 1)
     assert c["changed"] == c["matched"] == 9_990
     s = {x["column"]: x for x in r.column_stats}
-    assert 200 < s["status"]["changed"] < 400 and s["value_date"]["changed"] == s["value_date"]["blanked"] > 5
+    assert 200 < s["state"]["changed"] < 400 and s["due_on"]["changed"] == s["due_on"]["blanked"] > 5
 
 
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
     a, b = put(tmp_path, "a.csv", SIMPLE[0]), put(tmp_path, "b.csv", SIMPLE[1])
     run = lambda *x: cli.main([str(y) for y in x], spark)
-    assert run("compare", a, b, "-k", "id", "--json", "s.json") == 1
+    assert run("compare", a, b, "-k", "tree", "--json", "s.json") == 1
     assert (tmp_path / "a__vs__b.html").exists() and json.load(open("s.json"))["counts"]["changed"] == 1
-    assert run("compare", a, a, "-k", "id", "--summary") == 0
-    assert run("compare", a, b, "-k", "id", "--summary", "--json", "t.json") == 2 and not (tmp_path / "t.json").exists()
+    assert run("compare", a, a, "-k", "tree", "--summary") == 0
+    assert run("compare", a, b, "-k", "tree", "--summary", "--json", "t.json") == 2 and not (tmp_path / "t.json").exists()
     assert run("compare", a, b, "-k", "zz") == 2 and "zz" in capsys.readouterr().err
-    assert run("compare", a, b) == 2 and run("compare", a, b, "-k", "id", "--engine", "no") == 2 and run("compare", a, b, "-k", "id", "--bogus") == 2
-    dup = put(tmp_path, "d.csv", "id,name,qty\n1,a,1\n1,b,2\n")
-    assert run("compare", dup, dup, "-k", "id", "--summary", "--fail-on-dups") == 3
+    assert run("compare", a, b) == 2 and run("compare", a, b, "-k", "tree", "--engine", "no") == 2 and run("compare", a, b, "-k", "tree", "--bogus") == 2
+    dup = put(tmp_path, "d.csv", "tree,leaf,rings\nyew,a,1\nyew,b,2\n")
+    assert run("compare", dup, dup, "-k", "tree", "--summary", "--fail-on-dups") == 3
     capsys.readouterr()
-    assert run("columns", a) == 0 and capsys.readouterr().out == "id\nname\nqty\n"
-    assert run("head", a, "-n", 2, "--csv") == 0 and capsys.readouterr().out == "id,name,qty\n1,ann,5\n2,bob,7\n"
-    assert run("head", a) == 0 and capsys.readouterr().out.splitlines()[1].split() == ["1", "ann", "5"]
+    assert run("columns", a) == 0 and capsys.readouterr().out == "tree\nleaf\nrings\n"
+    assert run("head", a, "-n", 2, "--csv") == 0 and capsys.readouterr().out == "tree,leaf,rings\noak,lobed,120\nfir,needle,44\n"
+    assert run("head", a) == 0 and capsys.readouterr().out.splitlines()[1].split() == ["oak", "lobed", "120"]
     assert run("gen-data", tmp_path / "g", "--rows", "1k", "--format", "ndjson") == 0
-    assert run("compare", tmp_path / "g/a.ndjson", tmp_path / "g/b.ndjson", "-k", "account_id,txn_id", "-i", "updated_at", "--summary") == 1
+    assert run("compare", tmp_path / "g/a.ndjson", tmp_path / "g/b.ndjson", "-k", "depot,parcel", "-i", "touched_at", "--summary") == 1
