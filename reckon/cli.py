@@ -43,12 +43,15 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--summary", action="store_true")
     c.add_argument("--no-compress", action="store_true")
     c.add_argument("--fail-on-dups", action="store_true")
+    c.add_argument("--part-files", action="store_true", help="export folders of part files, written by the executors")
+    c.add_argument("--timings", action="store_true", help="seconds of each phase on stderr")
     c.add_argument("--threads", type=int)
     c.add_argument("--memory", type=parse_size)
     for verb in ("columns", "head"):
         h = sub.add_parser(verb)
         h.add_argument("file")
         h.add_argument("--delimiter")
+        h.add_argument("--encoding")
         if verb == "head":
             h.add_argument("-n", type=parse_count, default=10)
             h.add_argument("--csv", action="store_true")
@@ -81,10 +84,19 @@ def cmd_compare(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.summary and (args.out or args.json or args.export_dir):
         raise DiffError("--summary writes nothing; drop --out, --json and --export-dir")
     began = time.perf_counter()
+    phases, at = {}, began
+
+    def phase(name: str) -> None:
+        nonlocal at
+        now = time.perf_counter()
+        phases[name], at = now - at, now
+
     result = compare(spark, args.a, args.b, opt)
     if not args.summary:
         result.hold()
+    phase("open and plan")
     counts = result.counts
+    phase("scan, join, count")
     if not args.summary:
         stem = lambda p: os.path.splitext(os.path.basename(p.rstrip("/")))[0]
         out = args.out or f"{stem(args.a)}__vs__{stem(args.b)}.html"
@@ -94,8 +106,11 @@ def cmd_compare(spark: SparkSession, args: argparse.Namespace) -> int:
             with open(args.json, "w", encoding="utf-8") as f:
                 json.dump(sinks.to_json(result, args.a, args.b, time.perf_counter() - began), f, ensure_ascii=False, indent=1)
         if args.export_dir:
-            sinks.export(result, args.export_dir)
+            sinks.export(result, args.export_dir, not args.part_files)
         result.release()
+        phase("sections and files")
+    if args.timings:
+        print("; ".join(f"{k} {v:.2f} s" for k, v in phases.items()), file=sys.stderr)
     print(sinks.summary_line(result, time.perf_counter() - began))
     if args.fail_on_dups and (counts["a_dup_keys"] or counts["b_dup_keys"]):
         return 3
@@ -103,7 +118,7 @@ def cmd_compare(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def cmd_columns(spark: SparkSession, args: argparse.Namespace) -> int:
-    t = open_table(spark, args.file, Options(delimiter=args.delimiter))
+    t = open_table(spark, args.file, Options(delimiter=args.delimiter, encoding=args.encoding))
     print("\n".join(t.names))
     rows = t.count()
     print(f"{t.kind}, {len(t.names)} columns" + (f", {rows:,} rows" if rows is not None else ""), file=sys.stderr)
@@ -111,7 +126,7 @@ def cmd_columns(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def cmd_head(spark: SparkSession, args: argparse.Namespace) -> int:
-    opt = Options(delimiter=args.delimiter)
+    opt = Options(delimiter=args.delimiter, encoding=args.encoding)
     t = open_table(spark, args.file, opt)
     names, rows = list(dict.fromkeys(t.names)), t.head(args.n, opt)
     if args.csv:
@@ -134,6 +149,7 @@ def cmd_gen_data(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def session(args: argparse.Namespace) -> SparkSession:
+    """A session of so many threads and so much memory; both are checked by checked()."""
     b = SparkSession.builder.appName("reckon").config("spark.sql.session.timeZone", "UTC")
     if threads := getattr(args, "threads", None):
         b = b.master(f"local[{threads}]")
@@ -142,15 +158,23 @@ def session(args: argparse.Namespace) -> SparkSession:
     return b.getOrCreate()
 
 
+def checked(args: argparse.Namespace) -> None:
+    for name in ("threads", "memory"):
+        if (value := getattr(args, name, None)) is not None and value <= 0:
+            raise DiffError(f"{name} must be more than 0")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         args = parser().parse_args(argv)
     except SystemExit as e:
         return 2 if e.code else 0
     try:
+        checked(args)
         return {"compare": cmd_compare, "columns": cmd_columns, "head": cmd_head, "gen-data": cmd_gen_data}[args.verb](spark or session(args), args)
-    except (DiffError, OSError) as e:
-        print(f"error: {e}", file=sys.stderr)
+    except Exception as e:  # 1 means "different", so nothing else may end with it
+        text = str(e).strip() or type(e).__name__
+        print(f"error: {text if isinstance(e, (DiffError, OSError)) else f'{type(e).__name__}: {text.splitlines()[0]}'}", file=sys.stderr)
         return 2
 
 

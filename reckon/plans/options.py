@@ -6,8 +6,9 @@ import os
 import tomllib
 from dataclasses import dataclass, fields, replace
 
-STRATEGIES = ("auto", "broadcast", "sortmerge", "shuffle_hash")
-_HINTS = {"broadcast": "broadcast", "sortmerge": "merge", "shuffle_hash": "shuffle_hash"}
+#: No broadcast: Spark has none for full outer joins.
+STRATEGIES = ("auto", "sortmerge", "shuffle_hash")
+_HINTS = {"sortmerge": "merge", "shuffle_hash": "shuffle_hash"}
 
 
 class DiffError(ValueError):
@@ -84,12 +85,19 @@ def profiles(path: str | None = None) -> dict[str, dict]:
     for p in [path] if path else ["reckon.toml", os.path.expanduser("~/.config/reckon/reckon.toml")]:
         if os.path.exists(p):
             with open(p, "rb") as f:
-                return tomllib.load(f).get("profiles", {})
+                try:
+                    found = tomllib.load(f).get("profiles", {})
+                except (tomllib.TOMLDecodeError, UnicodeDecodeError) as e:
+                    raise DiffError(f"malformed profiles in {p}: {e}") from None
+            if not isinstance(found, dict) or not all(isinstance(x, dict) for x in found.values()):
+                raise DiffError(f"malformed profiles in {p}: tables [profiles.name] are wanted")
+            return found
     return {}
 
 
 def with_profile(base: Options, profile: dict) -> Options:
-    """Known keys of a profile laid over the options; unknown ones are passed over."""
+    """Known keys of a profile laid over the options (``engine`` is the strategy); unknown ones are passed over."""
+    profile = {"strategy" if k == "engine" else k: v for k, v in profile.items()}
     known = {f.name for f in fields(Options)}
     given = {k: tuple(parse_list(v) if isinstance(v, str) else v) if k in ("key", "compare", "ignore", "order_by") else v for k, v in profile.items() if k in known}
     return replace(base, **given)

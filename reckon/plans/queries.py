@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.diff import COUNTS, Result, compare
+from ..sources.sinks import shared_folder
+from ..sources.tables import open_table
+from . import datagen
 from .options import Options
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,12 +183,63 @@ def _identities(s: SparkSession, d: str) -> DataFrame:
     return c.selectExpr("matched = unchanged + changed as matched_ok", "removed = a_keys - matched as removed_ok", "added = b_keys - matched as added_ok", "a_rows - a_keys = a_dup_rows - a_dup_keys as a_ok", "b_rows - b_keys = b_dup_rows - b_dup_keys as b_ok")
 
 
-_add("contract_identities", _identities, "SELECT TRUE AS matched_ok, TRUE AS removed_ok, TRUE AS added_ok, TRUE AS a_ok, TRUE AS b_ok")
-_add("head_orders", lambda s, d: s.read.parquet(f"{d}/orders.parquet").orderBy("o_orderkey").limit(10).select("o_orderkey", "o_custkey", "o_orderstatus"), "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10")
+_add("contract_identities", _identities, f"SELECT matched = unchanged + changed AS matched_ok, removed = a_keys - matched AS removed_ok, added = b_keys - matched AS added_ok, a_rows - a_keys = a_dup_rows - a_dup_keys AS a_ok, b_rows - b_keys = b_dup_rows - b_dup_keys AS b_ok FROM ({_counts_sql('lineitem', ('k1', 'k2'), _L)})")
+
+
+def _head(s: SparkSession, d: str) -> DataFrame:
+    """The first rows of a file, as the engine shows them."""
+    t = open_table(s, f"{d}/nation.parquet")
+    return s.createDataFrame(t.head(10, Options()), ", ".join(f"{n} string" for n in t.names))
+
+
+_add("head_nation", _head, "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM (SELECT *, row_number() OVER () AS rn FROM nation) WHERE rn <= 10")
 
 
 def _parquet_paths(s: SparkSession, d: str) -> DataFrame:
-    return compare(s, f"{d}/nation.parquet", f"{d}/nation.parquet", Options(key=("n_nationkey",))).counts_frame()
+    """Keys that repeat, read by path: rows count, and the first row of a key in file order meets that of the other side."""
+    opt = Options(key=("l_orderkey", "l_linenumber"), compare=("l_returnflag", "l_suppkey"))
+    return compare(s, f"{d}/lineitem.parquet", f"{d}/lineitem.parquet", opt).counts_frame()
+
+
+_K = "(SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+_EACH = {"rows": "sum(n)", "keys": "count(*)", "dup_keys": "count(*) FILTER (WHERE n > 1)", "dup_rows": "coalesce(sum(n) FILTER (WHERE n > 1), 0)"}
+_add("diff_parquet_paths", _parquet_paths, "SELECT " + ", ".join(f"CAST({_EACH[k[2:]] if k[2:] in _EACH else 'count(*)' if k in ('matched', 'unchanged') else '0'} AS BIGINT) AS {k}" for k in COUNTS) + f" FROM {_K}")
+
+
+def _from_text(kind: str) -> Query:
+    """A table written as text and read back by path, against its Parquet file, on columns that have one text."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        cols = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+        folder = shared_folder(s, f"diff-{kind}")
+        drifted = s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 50 <> 3").selectExpr("cast(c_custkey as string) as c_custkey", "c_name", "cast(c_nationkey as string) as c_nationkey", "case when c_custkey % 20 = 0 then concat(c_mktsegment, ', \"q\"') else c_mktsegment end as c_mktsegment")
+        datagen.write(drifted, folder, kind)
+        return compare(s, f"{d}/customer.parquet", folder, Options(key=("c_custkey",), compare=tuple(cols[1:]))).changed(False).select("c_custkey", F.size("diffs").alias("n"), F.col("diffs")[0]["b"].alias("b"))
+
+    return run
+
+
+for _kind in ("csv", "ndjson"):
+    _add(f"diff_{_kind}_path", _from_text(_kind), "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, 1 AS n, c_mktsegment || ', \"q\"' AS b FROM customer WHERE c_custkey % 20 = 0 AND c_custkey % 50 <> 3")
+
+
+def _wide(s: SparkSession, d: str) -> DataFrame:
+    """A hundred compared columns: statistics are grouped from the differing cells."""
+    df = s.read.parquet(f"{d}/part.parquet")
+    a = df.selectExpr("p_partkey AS k", *[f"cast(p_partkey % {i + 2} as string) AS w{i}" for i in range(100)])
+    b = df.selectExpr("p_partkey AS k", *[f"case when p_partkey % 97 = {i % 97} then null else cast(p_partkey % {i + 2} as string) end AS w{i}" for i in range(100)])
+    return compare(s, a, b, Options(key=("k",))).column_stats_frame()
+
+
+_add("diff_wide_column_stats", _wide, " UNION ALL ".join(f"SELECT {i} AS idx, 'w{i}' AS \"column\", count(*) FILTER (WHERE p_partkey % 97 = {i % 97}) AS changed, count(*) FILTER (WHERE p_partkey % 97 = {i % 97}) AS blanked, CAST(0 AS BIGINT) AS filled FROM part" for i in range(100)))
+
+
+def _stamps(s: SparkSession, d: str) -> DataFrame:
+    """Timestamps that differ, as text."""
+    df = s.read.parquet(f"{d}/events.parquet")
+    b = df.selectExpr("event_id", "case when event_id % 17 = 0 then ts + interval 1500 milliseconds else ts end as ts")
+    return compare(s, df.select("event_id", "ts"), b, Options(key=("event_id",))).changed(False).select("event_id", F.col("diffs")[0]["b"].alias("b"))
 
 
-_add("diff_parquet_paths", _parquet_paths, "SELECT " + ", ".join(f"CAST({n} AS BIGINT) AS {k}" for k, n in zip(COUNTS, ["(SELECT count(*) FROM nation)"] * 4 + ["0"] * 4 + ["(SELECT count(*) FROM nation)"] * 2 + ["0"] * 3, strict=True)))
+_STAMP = "ts + INTERVAL 1500 MILLISECONDS"
+_add("diff_timestamp_text", _stamps, f"SELECT CAST(event_id AS VARCHAR) AS event_id, regexp_replace(strftime({_STAMP}, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') AS b FROM events WHERE event_id % 17 = 0")

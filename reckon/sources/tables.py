@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from ..plans.options import DiffError, Options
 
 DELIMITERS = (",", ";", "\t", "|")
+#: Bytes in which the header of a CSV file ends.
+HEADER_BYTES = 1 << 18
 
 
 def _bytes_at_ends(spark: SparkSession, path: str, n: int) -> tuple[str, bytes, bytes]:
@@ -59,6 +61,11 @@ def sniff_delimiter(line: str) -> str:
     return max(DELIMITERS, key=lambda d: (line.count(d), -DELIMITERS.index(d)))
 
 
+def quoted(name: str) -> str:
+    """A column name with dots, blanks or backticks in it, for Spark's parser."""
+    return f"`{name.replace('`', '``')}`"
+
+
 @dataclass
 class Table:
     spark: SparkSession
@@ -69,20 +76,24 @@ class Table:
     delimiter: str = ","
     physical: dict[str, str] = field(default_factory=dict)
 
+    def __post_init__(self):
+        for i, n in enumerate(self.names):  # by place, so that no name can clash with another or with _ord
+            self.physical.setdefault(n, f"f{i}")
+
     def column(self, name: str) -> str:
         """The physical column of a name; a name that repeats means its first."""
-        return self.physical.get(name, name)
+        return self.physical[name]
 
     def read(self, key: tuple[str, ...], compared: tuple[str, ...], opt: Options) -> DataFrame:
         """The columns asked for, and _ord, which orders rows as they stand."""
         wanted = list(dict.fromkeys([*key, *compared]))
-        cols = [F.col(f"`{self.column(n)}`") for n in wanted]
+        own = [F.col(quoted(n)) for n in wanted]
+        named = [c.alias(self.column(n)) for c, n in zip(own, wanted, strict=True)]
         if self.kind == "dataframe":
-            if opt.order_by:
-                return self.df.select(*cols, F.struct(*[F.col(f"`{c}`") for c in opt.order_by]).alias("_ord"))
-            return self.df.select(*cols, F.struct(*cols).alias("_ord"))
+            return self.df.select(*named, F.struct(*([F.col(quoted(c)) for c in opt.order_by] or own)).alias("_ord"))
         if self.kind == "parquet":
-            return self.spark.read.parquet(self.path).select(*cols, F.struct("_metadata.file_path", "_metadata.row_index").alias("_ord"))
+            return self.spark.read.parquet(self.path).select(*named, F.struct("_metadata.file_path", "_metadata.row_index").alias("_ord"))
+        cols = [F.col(self.column(n)) for n in wanted]
         place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_ord")
         if self.kind == "csv":
             return self._csv(opt).select(*cols, place)
@@ -102,14 +113,21 @@ class Table:
     def count(self) -> int | None:
         return self.spark.read.parquet(self.path).count() if self.kind == "parquet" else None
 
+    def _single(self) -> bool:
+        """Whether the path is one file that is read in order from its start."""
+        return len(self.spark.read.format("binaryFile").load(self.path).select("path").head(2)) == 1
+
     def head(self, n: int, opt: Options) -> list[list[str | None]]:
         """The first n rows as text, in file order."""
         from ..functions.cells import canonical_text
 
-        df = self.read(tuple(dict.fromkeys(self.names)), (), opt)
-        names = list(dict.fromkeys(self.names))
-        rows = df.orderBy("_ord").limit(n) if self.kind != "dataframe" else df.limit(n)
-        return [list(r) for r in rows.select(*[F.nullif(canonical_text(F.col(f"`{self.column(c)}`"), df.schema[self.column(c)].dataType, c), F.lit("")) for c in names]).collect()]
+        names = tuple(dict.fromkeys(self.names))
+        df = self.read(names, (), opt)
+        if self.kind == "dataframe":
+            rows = df.limit(n)
+        else:  # the first rows of each file are a prefix of it, so that one task stops early in place of sorting all
+            rows = df.limit(n) if self._single() else df.orderBy("_ord").limit(n)
+        return [list(r) for r in rows.select(*[F.nullif(canonical_text(F.col(self.column(c)), df.schema[self.column(c)].dataType, c), F.lit("")) for c in names]).collect()]
 
 
 def _json_rows(lines: DataFrame, wanted: list[str], keys: set[str], physical: dict[str, str]) -> DataFrame:
@@ -120,7 +138,9 @@ def _json_rows(lines: DataFrame, wanted: list[str], keys: set[str], physical: di
     def text(v):
         if isinstance(v, bool):
             return "true" if v else "false"
-        return v if isinstance(v, str) else None
+        if not isinstance(v, str):
+            return None
+        return v if v.isascii() else v.encode("utf-8", "surrogatepass").decode("utf-8", "replace")  # lone surrogates
 
     def run(batches):
         for b in batches:
@@ -128,7 +148,7 @@ def _json_rows(lines: DataFrame, wanted: list[str], keys: set[str], physical: di
             for line in b.column(0).to_pylist():
                 try:
                     pairs = json.loads(line, object_pairs_hook=_Pairs, parse_int=str, parse_float=str, parse_constant=str)
-                except ValueError:
+                except (ValueError, RecursionError):
                     pairs = None
                 pairs = pairs if isinstance(pairs, _Pairs) else ()
                 last = dict(pairs)
@@ -161,11 +181,16 @@ def open_table(spark: SparkSession, source: str | DataFrame, opt: Options | None
     if kind == "ndjson":
         try:
             names = list(dict.fromkeys(k for k, _ in json.loads(first, object_pairs_hook=_Pairs)))
-        except (ValueError, TypeError):
+        except (ValueError, TypeError, RecursionError):
             raise DiffError(f"the first line is not a JSON object: {source}") from None
         return Table(spark, names, source, kind, physical={n: f"f{i}" for i, n in enumerate(names)})
-    sep = opt.delimiter or sniff_delimiter(first)
-    names = next(csv.reader(io.StringIO(first), delimiter=sep), [])
+    try:  # from the bytes, so that encodings and quoted newlines in names hold
+        head = _bytes_at_ends(spark, source, HEADER_BYTES)[1].decode(opt.encoding or "utf-8", "replace").removeprefix("\ufeff").lstrip("\r\n")
+    except LookupError:
+        raise DiffError(f"unknown encoding: {opt.encoding}") from None
+    head = head if head.strip() else first
+    sep = opt.delimiter or sniff_delimiter(head.split("\n", 1)[0])
+    names = next((r for r in csv.reader(io.StringIO(head, newline=""), delimiter=sep) if r), [])
     physical: dict[str, str] = {}
     for i, n in enumerate(names):
         physical.setdefault(n, f"f{i}")

@@ -303,3 +303,58 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert run("head", a) == 0 and capsys.readouterr().out.splitlines()[1].split() == ["oak", "lobed", "120"]
     assert run("gen-data", tmp_path / "g", "--rows", "1k", "--format", "ndjson") == 0
     assert run("compare", tmp_path / "g/a.ndjson", tmp_path / "g/b.ndjson", "-k", "depot,parcel", "-i", "touched_at", "--summary") == 1
+
+
+def test_every_error_ends_with_two(spark, tmp_path, capsys):
+    a = put(tmp_path, "a.csv", SIMPLE[0])
+    bad = put(tmp_path, "bad.parquet", "PAR1" + "x" * 60 + "PAR1")
+    put(tmp_path, "broken.toml", "[profiles.x\nkey=1")
+    put(tmp_path, "odd.toml", "[profiles]\nx = 3\n")
+    run = lambda *x: cli.main([str(y) for y in x], spark)
+    assert run("compare", bad, a, "-k", "tree", "--summary") == 2
+    for name in ("broken", "odd"):
+        assert run("compare", a, a, "-k", "tree", "--summary", "--config", tmp_path / f"{name}.toml", "--profile", "x") == 2
+    assert run("compare", a, a, "-k", "tree", "--summary", "--threads", "-1") == 2
+    assert run("compare", a, a, "-k", "tree", "--summary", "--memory", "0") == 2
+    assert "threads" in capsys.readouterr().err
+    assert run("compare", a, a, "-k", "tree", "--summary", "--timings") == 0 and "scan, join, count" in capsys.readouterr().err
+
+
+def test_part_files_are_written_by_executors(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    a, b = put(tmp_path, "a.csv", SIMPLE[0]), put(tmp_path, "b.csv", SIMPLE[1])
+    assert cli.main(["compare", a, b, "-k", "tree", "--export-dir", str(tmp_path / "out"), "--part-files"], spark) == 1
+    assert spark.read.csv(str(tmp_path / "out" / "changed.csv"), header=True).collect()[0]["rings (B)"] == "45"
+
+
+def test_profile_engine_is_the_strategy():
+    assert with_profile(Options(), {"engine": "sortmerge", "key": "a, b"}) == Options(key=("a", "b"), strategy="sortmerge")
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([("1", "x", "p", "q"), ("2", "y", "p", "q")], ["a.b", "_ord", "c`d", "f0"])
+    other = df.withColumn("_ord", F.lit("x"))
+    r = compare(spark, df, other, Options(key=("a.b",), order_by=("_ord", "c`d")))
+    assert r.column_stats == [{"column": c, "changed": n, "blanked": 0, "filled": 0} for c, n in (("_ord", 1), ("c`d", 0), ("f0", 0))]
+    assert [x["a.b"] for x in r.changed().collect()] == ["2"]
+
+
+def test_ndjson_lone_surrogates_and_deep_nesting(spark, tmp_path):
+    deep = '{"k":"2","v":' + "[" * 100_000 + "]" * 100_000 + "}"
+    a = put(tmp_path, "a", '{"k":"1","v":"\\ud800x"}\n' + deep + "\n")
+    r = compare(spark, a, put(tmp_path, "b", '{"k":"1","v":"y"}\n{"k":"2","v":null}\n'), Options(key=("k",)))
+    assert r.counts["a_rows"] == 2 and r.counts["changed"] >= 1
+
+
+def test_encoding_reaches_the_header(spark, tmp_path):
+    p = tmp_path / "l.csv"
+    p.write_bytes("schlüssel,größe\nä,1\n".encode("latin-1"))
+    r = compare(spark, str(p), str(p), Options(key=("schlüssel",), encoding="ISO-8859-1"))
+    assert r.identical and r.resolved.compared == ("größe",) and r.counts["matched"] == 1
+    with pytest.raises(DiffError, match="no-such"):
+        open_table(spark, str(p), Options(encoding="no-such"))
+
+
+def test_a_newline_in_a_name(spark, tmp_path):
+    r = both(spark, tmp_path, '\n"key\nname",v\n1,x\n', 'v,"key\nname"\ny,1\n', key=("key\nname",))
+    assert (r.counts["matched"], r.counts["changed"]) == (1, 1)
