@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, stored, text_rows, words
+from .common import HELD_ROWS, documents, map_batches, stored, text_rows, words
 
 BUCKETS, FRACTION, SEED = 10_000, 0.5, 17
 #: Labelled rows, at most, that stand for the target.
@@ -58,7 +58,8 @@ class _Counts:
 def log_ratios(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log p_target - log p_raw by bucket, add-one smoothed; all documents are raw, those in ``target`` target."""
     ids = target.select(F.col("doc_id").alias("_rk_t")).where("_rk_t is not null").distinct()
-    flagged = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_rk_t"), "left")
+    ids = F.broadcast(ids) if ids.limit(HELD_ROWS + 1).count() <= HELD_ROWS else ids.hint("merge")
+    flagged = docs.join(ids, F.col("doc_id") == F.col("_rk_t"), "left")
     rows = text_rows(flagged, F.col("_rk_t").isNotNull().alias("target")).drop("doc_id")
     found = map_batches(rows, lambda: _Counts(buckets), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     at = found["bucket"].to_numpy()
@@ -88,9 +89,10 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 def resample(docs: DataFrame, target: DataFrame, fraction: float = FRACTION, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """doc_id, n_ngrams, log_weight, gumbel_key, selected of every row.
 
-    ``target`` (doc_id) names the documents of the target, a bounded set that is broadcast. selected: the
-    key is among the ceil(fraction x rows) largest, ties with the last included, so equal rows fare alike.
-    Noise depends on doc_id and seed. Null and empty texts weigh 0; no target gives near-uniform weights.
+    ``target`` (doc_id) names the documents of the target: up to HELD_ROWS ids are broadcast, more are joined in a
+    shuffle; null and repeated ids add nothing. selected: the key is among the ceil(fraction x rows) largest, ties
+    with the last included, so equal rows fare alike. Noise depends on doc_id and seed. Null and empty texts weigh 0;
+    no target gives near-uniform weights; an empty table gives no rows. Texts count whole, however long.
     """
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, target, buckets))
 

@@ -122,6 +122,11 @@ def test_components_of_a_long_chain(spark):
 # --- BPE
 
 
+def test_other_split_patterns_are_refused():
+    with pytest.raises(ValueError, match="split pattern"):
+        bpe.TreeBPE(pattern=r"\S+|\s+")
+
+
 @pytest.mark.parametrize("leaf", [1, 3, 50, 1024])
 def test_tree_equals_one_go(leaf):
     tree, r = bpe.TreeBPE(leaf=leaf, window=2), random.Random(leaf)
@@ -331,6 +336,15 @@ def test_resampling_weights_and_exact_top(spark):
     assert {x.doc_id for x in out if x.selected} == top and sum(i % 2 for i in top if i < 400) > 195
 
 
+def test_resampling_by_a_shuffle_and_of_empty_tables(spark, monkeypatch):
+    df, target = table(spark, ["a b", "c d", None, "a b"], [1, 2, None, 1]), spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
+    held = sorted(map(str, rows(resampling.resample(df, target))))
+    monkeypatch.setattr(resampling, "HELD_ROWS", 0)
+    assert sorted(map(str, rows(resampling.resample(df, target)))) == held and len(held) == 4
+    assert resampling.resample(table(spark, []), target).count() == 0
+    assert resampling.resample(df, target.limit(0)).count() == 4
+
+
 def test_kth_largest(spark):
     r = random.Random(16)
     xs = [r.gauss(0, 1) for _ in range(3000)] + [5.0] * 1500 + [-1e9, 1e9]
