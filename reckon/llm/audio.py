@@ -130,7 +130,11 @@ class Features:
 
 
 def audio_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (WAV), samples (read back), tensors (Arrow IPC), segments (time spans)."""
+    """doc_id, n_bytes, media (WAV), samples (read back), tensors (Arrow IPC), segments (time spans).
+
+    Null and empty texts are one block of zeros; equal texts have equal values, repeated rows stay, an empty table
+    gives no rows. Other columns are left out. Features of a long text are computed CHUNK tensors at a time.
+    """
 
     def make():
         features = Features()

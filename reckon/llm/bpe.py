@@ -47,7 +47,9 @@ class TreeBPE:
     """encode and decode of whole texts; spans are (start, end, ids)."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None, leaf: int = LEAF, window: int = WINDOW):
-        known = _files() if path is None or pattern is None else (path, pattern)
+        known = _files()
+        if pattern not in (None, known[1]):
+            raise ValueError("the certain cuts hold for the split pattern of public_tokenizers alone")
         self.enc, self.leaf, self.window = codec(path or known[0], pattern or known[1]), max(1, leaf), max(1, window)
         top = max(self.enc._mergeable_ranks.values()) + 1
         self.bytes_of = [b""] * top
@@ -117,7 +119,12 @@ class TreeBPE:
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """doc_id, ids (array of int), decoded (the ids' bytes). A null or empty text has no ids."""
+    """doc_id, ids (array of int), decoded (the ids' bytes).
+
+    A null or empty text has no ids; equal texts have equal ids, repeated rows stay, an empty table gives no rows. A very
+    long text is encoded whole by one task, in memory that grows with its length. Other columns are left out. ``path``
+    names another file of ranks; another ``pattern`` than public_tokenizers.PATTERN is refused.
+    """
 
     def make():
         tree = TreeBPE(path, pattern, leaf)

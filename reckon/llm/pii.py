@@ -107,7 +107,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """The documents' columns doc_id and text with _rk_spans: kind, start, end, score of each confirmed span.
 
     start and end count code points, end exclusive; kinds as in KINDS, then by start. The score is that
-    of the kind, raised where a context word stands before the span. Null and empty texts have no spans.
+    of the kind, raised where a context word stands before the span. Null and empty texts have no spans,
+    equal texts have equal ones, repeated rows stay, an empty table gives no rows. Texts are searched whole, however long.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # in steps, so that no pattern runs twice over a text
