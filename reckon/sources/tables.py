@@ -101,14 +101,19 @@ class Table:
         return _json_rows(lines, wanted, set(key), self.physical)
 
     def _csv(self, opt: Options) -> DataFrame:
-        lines = self.spark.read.text(self.path)
-        odd = lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
+        lines = self.spark.read.option("lineSep", "\n").text(self.path)
+        odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+        found = lines.agg(F.bool_or(odd).alias("odd"), F.bool_or(F.col("value").rlike(r"\r(?!\z)")).alias("lone")).first()
         schema = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(self.names))])
         reader = self.spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", self.delimiter).option("quote", '"').option("escape", '"')
         if opt.encoding:
             reader = reader.option("encoding", opt.encoding)
+        lone = bool(found["lone"]) and not (opt.encoding or "").lower().startswith(("utf-16", "utf-32"))
+        if lone:  # rows end at the newline alone
+            reader = reader.option("lineSep", "\n")
         # a quoted newline makes a file unsplittable, so only where there may be one
-        return reader.option("multiLine", not odd.isEmpty()).option("mode", "PERMISSIVE").option("nullValue", "").option("maxCharsPerColumn", -1).csv(self.path)
+        rows = reader.option("multiLine", bool(found["odd"])).option("mode", "PERMISSIVE").option("nullValue", "").option("maxCharsPerColumn", -1).csv(self.path)
+        return _without_ends(rows, schema.names) if lone else rows
 
     def count(self) -> int | None:
         return self.spark.read.parquet(self.path).count() if self.kind == "parquet" else None
@@ -130,6 +135,18 @@ class Table:
         return [list(r) for r in rows.select(*[F.nullif(canonical_text(F.col(self.column(c)), df.schema[self.column(c)].dataType, c), F.lit("")) for c in names]).collect()]
 
 
+def _without_ends(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows cut at newlines alone, less the carriage return that ends the last cell there is."""
+    cut, last = {}, F.lit(True)
+    for n in reversed(names):
+        cut[n] = F.nullif(F.when(last, F.regexp_replace(n, r"\r\z", "")).otherwise(F.col(n)), F.lit(""))
+        last = last & F.col(n).isNull()
+    blank = F.col(names[0]) == "\r"
+    for n in names[1:]:
+        blank = blank & F.col(n).isNull()
+    return rows.where(~F.coalesce(blank, F.lit(False))).withColumns(cut)
+
+
 def _json_rows(lines: DataFrame, wanted: list[str], keys: set[str], physical: dict[str, str]) -> DataFrame:
     """Members as text: numbers as written, nested values and null absent; of a repeated member keys take the
     first, other columns the last. A line that is no object is a row of absent cells."""

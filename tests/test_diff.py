@@ -72,6 +72,16 @@ def test_trim_to_empty(spark, tmp_path, trim, empty, n):
     assert r.counts["changed"] == n
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("quoted", ["", '"two\nlines"'])
+def test_a_lone_carriage_return_is_part_of_its_cell(spark, tmp_path, end, quoted):
+    lines = ["pond,fish,depth", "east,carp\rpike,3", "west,eel,", "", 'north,"tench",4', "south,rudd", f"mid,{quoted or 'x'},5", 'low,roach,"6"', "far,bream,7,extra"]
+    t = open_table(spark, put(tmp_path, "p.csv", end.join(lines) + end))
+    assert t.head(20, Options()) == [["east", "carp\rpike", "3"], ["west", "eel", None], ["north", "tench", "4"], ["south", "rudd", None], ["mid", quoted.strip('"') or "x", "5"], ["low", "roach", "6"], ["far", "bream", "7"]]
+    r = both(spark, tmp_path, end.join(lines) + end, "\n".join(lines).replace("carp\rpike", "carp") + "\n", key=("pond",))
+    assert (r.counts["a_rows"], r.counts["matched"], r.counts["changed"], r.counts["removed"]) == (7, 7, 1, 0)
+
+
 def test_delimiter_ragged_crlf_and_quoted_newline(spark, tmp_path):
     assert both(spark, tmp_path, "dish;spice\nsoup;salt\n", "dish;spice\nsoup;dill\n", key=("dish",)).counts["changed"] == 1
     assert sniff_delimiter("a|b|c,d") == "|" and sniff_delimiter("a,b;c") == ","
