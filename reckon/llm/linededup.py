@@ -172,3 +172,25 @@ def _pick(text: str, kept: Column) -> Column:
 def op3_line_dedup_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text after deletion, n_deleted lines of every document."""
     return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", F.col("_rk_dead").alias("n_deleted"))
+
+
+#: The same by window texts in place of ranks: the shortest windows with enough words that start or end at each line,
+#: grouped by what they say; all but the first of a group go.
+ORACLE = rf"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text <> ''),
+ids AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS d, doc_id, text, string_split(text, chr(10)) AS ls FROM docs),
+lines AS (SELECT d, unnest(range(len(ls))) AS pos, unnest(ls) AS line, unnest(list_transform(ls, lambda x: len(regexp_extract_all(x, '[^ \t\n\r\x0b\x0c]+')))) AS n FROM ids),
+sums AS (SELECT d, pos, sum(n) OVER (PARTITION BY d ORDER BY pos) AS upto, sum(n) OVER (PARTITION BY d ORDER BY pos) - n AS before FROM lines),
+ends AS (SELECT d, upto, min(pos) AS pos FROM sums GROUP BY d, upto),
+starts AS (SELECT d, before, max(pos) AS pos FROM sums GROUP BY d, before),
+spans AS (
+ SELECT 'f' AS way, l.d, l.pos AS s, r.pos AS e FROM sums l ASOF JOIN ends r ON l.d = r.d AND l.before + {MIN_WORDS} <= r.upto
+ UNION ALL SELECT 'b', l.d, r.pos, l.pos FROM sums l ASOF JOIN starts r ON l.d = r.d AND l.upto - {MIN_WORDS} >= r.before),
+said AS (SELECT way, d, s, e, array_to_string(ls[s + 1:e + 1], chr(10)) AS w FROM spans JOIN ids USING (d)),
+later AS (SELECT d, s, e FROM (SELECT *, row_number() OVER (PARTITION BY way, e - s, w ORDER BY d, s) AS rn FROM said) WHERE rn > 1),
+dead AS (SELECT DISTINCT d, unnest(range(s, e + 1)) AS pos FROM later),
+gone AS (SELECT l.d, count(g.pos) AS n, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS new FROM lines l LEFT JOIN dead g ON l.d = g.d AND l.pos = g.pos GROUP BY l.d HAVING count(g.pos) > 0),
+kept AS (SELECT doc_id, text, n, new FROM ids JOIN gone USING (d))
+SELECT x.doc_id, CASE WHEN k.n IS NULL THEN x.text ELSE coalesce(k.new, '') END AS text, CAST(coalesce(k.n, 0) AS BIGINT) AS n_deleted
+FROM documents x LEFT JOIN kept k ON x.doc_id IS NOT DISTINCT FROM k.doc_id AND x.text = k.text
+"""

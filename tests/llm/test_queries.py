@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 from test_operators import PLAIN, awkward, brute_fingerprint, brute_lines, brute_spans, table
 
@@ -33,6 +34,13 @@ def test_op3(spark, folder):
     assert got[len(folder[1]) - 4].text == "head\ntail"
 
 
+def test_op3_equals_its_sql(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder[0]}/documents.parquet/*.parquet'")
+    got = rows(spark, folder, "op3_line_dedup_suffix")
+    assert {r[0]: tuple(r[1:]) for r in con.execute(registry.ORACLES["op3_line_dedup_suffix"]).fetchall()} == {i: (r.text, r.n_deleted) for i, r in got.items()}
+
+
 def test_op4(spark, folder):
     enc = bpe.TreeBPE().enc
     for i, r in rows(spark, folder, "op4_bpe_tree").items():
