@@ -152,5 +152,5 @@ def components(edges: DataFrame) -> DataFrame:
         e = stored(small, "edges")
         # done when every node has one link and no root is a node: a forest of stars
         n, nodes, inner = e.select(F.count("*"), F.count_distinct("u"), F.lit(0)).first()
-        if n == nodes and e.join(e.select(F.col("u").alias("_rk_n")), F.col("v") == F.col("_rk_n"), "left_semi").isEmpty():
+        if n == nodes and e.join(e.select(F.col("u").alias("_rk_n")).hint("merge"), F.col("v") == F.col("_rk_n"), "left_semi").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

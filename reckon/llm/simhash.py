@@ -151,7 +151,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = table.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "k")).select("fp", F.xxhash64("t", "k").alias("key"))
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     n = F.ceil(F.col("n") / BLOCK).cast("int")
-    hit = keyed.join(met, "key").withColumn("n", n).withColumn("b", F.pmod(F.xxhash64("fp", "key"), F.col("n")).cast("int"))
+    # joins here are merges at every size: a broadcast goes through the driver, which 10 MB of packed rows can fill
+    hit = keyed.join(met.hint("merge"), "key").withColumn("n", n).withColumn("b", F.pmod(F.xxhash64("fp", "key"), F.col("n")).cast("int"))
     split = hit.select("fp", "key", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("fp", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     dealt = split.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return map_batches(dealt.select("key", "i", "j", "fp"), lambda: _Links(radius), "u long, v long").distinct()
@@ -165,17 +166,17 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     rows = stored(fingerprints(docs), "simhash")
     named = _lowest(rows, F.col("doc_id"), radius)
-    return rows.join(named, F.col("fp") == F.col("_rk_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_rk_low").alias("component_id"))
+    return rows.join(named.hint("merge"), F.col("fp") == F.col("_rk_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_rk_low").alias("component_id"))
 
 
 def _lowest(rows: DataFrame, place: Column, radius: int) -> DataFrame:
     """(_rk_fp, _rk_low): the least ``place`` in the component of each fingerprint."""
     root = components(links(rows, radius))
     each = rows.groupBy("fp").agg(F.min(place).alias("_rk_own"))
-    rooted = each.join(root, F.col("fp") == F.col("node"), "left").select("fp", "_rk_own", F.coalesce("root", "fp").alias("root"))
+    rooted = each.join(root.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "_rk_own", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     low = rooted.groupBy("root").agg(F.min("_rk_own").alias("_rk_low"))
-    return rooted.join(low, "root").select(F.col("fp").alias("_rk_fp"), "_rk_low")
+    return rooted.join(low.hint("merge"), "root").select(F.col("fp").alias("_rk_fp"), "_rk_low")
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -188,9 +189,9 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = stored(fingerprints(docs, text.alias("_rk_th")), "simhash")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_th")
     named = _lowest(rows, place, radius)
-    lost = rows.join(named, F.col("fp") == F.col("_rk_fp")).where(place != F.col("_rk_low")).select(F.col("doc_id").alias("_rk_lost"), "_rk_th").distinct()
+    lost = rows.join(named.hint("merge"), F.col("fp") == F.col("_rk_fp")).where(place != F.col("_rk_low")).select(F.col("doc_id").alias("_rk_lost"), "_rk_th").distinct()
     own = docs.withColumn("_rk_own_th", text)
-    return own.join(lost, F.col("doc_id").eqNullSafe(F.col("_rk_lost")) & (F.col("_rk_own_th") == F.col("_rk_th")), "left_anti").drop("_rk_own_th")
+    return own.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rk_lost")) & (F.col("_rk_own_th") == F.col("_rk_th")), "left_anti").drop("_rk_own_th")
 
 
 def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
