@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckon.llm import bpe, linededup, neardup, tiling, toxicity
+from reckon.llm import bpe, linededup, neardup, simhash, tiling, toxicity
 from reckon.llm.common import documents, stored
 
 
@@ -27,8 +27,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at similarity 0.8 or more of 5-word shingles stays, that with the least doc_id."""
-    return neardup.near_dedup(docs)
+    """One document of each group linked at similarity 0.8 or more of 5-word shingles stays, that with the least doc_id.
+
+    Op5's covering SimHash proposes, MinHash bands propose what lies beyond its radius, exact sets decide.
+    """
+    return neardup.near_dedup(docs, simhash.RADIUS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

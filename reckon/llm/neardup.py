@@ -1,11 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash proposes, exact sets decide.
-
-Each text is the set of its shingles' 64-bit hashes. ``BANDS`` band keys of ``ROWS`` minimum hashes each
-propose groups of texts; a pair at similarity s shares no key with probability (1 - s^ROWS)^BANDS, which is
-3e-6 at 0.8. Chains of shared keys form groups, and within a group the sets are compared exactly.
-
-Covering SimHash can't take this place: texts at similarity 0.8 differ in some 10 of 64 bits, and masks that
-cover 13 or more bits leave too few to tell texts apart.
+"""Near-duplicates by the Jaccard similarity of word shingles: covering SimHash and MinHash propose, exact sets decide.
+
+Each text is the set of its shingles' 64-bit hashes, and has a SimHash of them. The covering masks of op5 propose
+every pair of texts whose SimHashes differ in up to ``radius`` bits. Texts at similarity 0.8 may differ in some 10
+of 64 bits, and masks that cover 13 or more leave too few to tell texts apart, so that ``BANDS`` band keys of
+``ROWS`` minimum hashes each propose as well: a pair at similarity s shares no key with probability
+(1 - s^ROWS)^BANDS, which is 3e-6 at 0.8. Chains of what is proposed form groups, and within a group the sets are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, map_batches, met, numbered, stored, words
 
 SHINGLE, BANDS, ROWS, SEED = 5, 24, 4, 42
@@ -77,23 +78,24 @@ def similar_links(lengths: np.ndarray, values: np.ndarray) -> list[tuple[int, in
 
 
 def _sign(docs: DataFrame) -> DataFrame:
-    """(_rk_row, doc_id, fp, n, keys): fp names the set of shingles, n is its size."""
+    """(_rk_row, doc_id, fp, sim, n, keys): fp names the set of shingles, n is its size, sim is the text's SimHash."""
 
     def make():
         def f(b):
-            fps, sizes, keys, memo = [], [], [], {}
+            fps, sims, sizes, keys, memo = [], [], [], [], {}
             for t in b.column("text").to_pylist():
                 h = shingles(t)
                 fp = xxhash.xxh64_intdigest(h.tobytes(), SEED)
                 if fp not in memo:
                     memo[fp] = band_keys(h) if len(h) else []
-                fps.append(fp), sizes.append(len(h)), keys.append(memo[fp])
-            return {"_rk_row": b.column("_rk_row"), "doc_id": b.column("doc_id"), "fp": np.array(fps, np.uint64).view(np.int64), "n": sizes, "keys": keys}
+                fps.append(fp), sims.append(simhash.fingerprint(t, SHINGLE)), sizes.append(len(h)), keys.append(memo[fp])
+            fps, sims = (np.array(x, np.uint64).view(np.int64) for x in (fps, sims))
+            return {"_rk_row": b.column("_rk_row"), "doc_id": b.column("doc_id"), "fp": fps, "sim": sims, "n": sizes, "keys": keys}
 
         return f
 
     rows = docs.select("_rk_row", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return map_batches(rows, make, f"_rk_row struct<file:long,at:long>, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, n long, keys array<long>")
+    return map_batches(rows, make, f"_rk_row struct<file:long,at:long>, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, sim long, n long, keys array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -116,13 +118,25 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([fps[a] for a, _ in found], pa.int64()), "v": pa.array([fps[b] for _, b in found], pa.int64())})
 
 
-def _links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def _covered(signed: DataFrame, radius: int) -> DataFrame:
+    """(u, v): pairs of sets that join all whose texts have SimHashes within the radius, by op5's covering masks."""
+    sims = stored(signed.where("n > 0").select("fp", "sim").distinct(), "sims")
+    named = stored(sims.groupBy("sim").agg(F.min("fp").alias("least")), "named")  # a SimHash goes by the least of its sets
+    near = simhash.links(named.select(F.col("sim").alias("fp")), radius)
+    for c in ("u", "v"):
+        near = near.join(named.select(F.col("sim").alias(c), F.col("least").alias(f"{c}_least")).hint("merge"), c)
+    own = sims.join(named.hint("merge"), "sim").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    return near.select(F.col("u_least").alias("u"), F.col("v_least").alias("v")).unionByName(own).where("u <> v")
+
+
+def _links(docs: DataFrame, signed: DataFrame, radius: int) -> DataFrame:
     """(u, v): links between sets that join all that are similar enough."""
     one = stored(signed.where("n > 0").groupBy("fp").agg(F.min("_rk_row").alias("_rk_row"), F.min("n").alias("n"), F.min("keys").alias("keys")), "sets")
     # joins here are merges at every size, so that what they cost grows with the input alone
     keyed = one.select("fp", F.posexplode("keys").alias("t", "k")).select("fp", F.xxhash64("t", "k").alias("key"))
     least = keyed.groupBy("key").agg(F.min("fp").alias("u"), F.count("*").alias("c")).where("c > 1").select("key", "u")
-    root = components(keyed.join(least.hint("merge"), "key").select("u", F.col("fp").alias("v")).where("u <> v").distinct())
+    banded = keyed.join(least.hint("merge"), "key").select("u", F.col("fp").alias("v")).where("u <> v")
+    root = components(_covered(signed, radius).unionByName(banded).distinct())
     rooted = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()).join(one.drop("keys").hint("merge"), F.col("node") == F.col("fp")).select("_rk_row", "fp", "n", "root")
     rooted = stored(rooted, "rooted")
     size = rooted.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
@@ -133,15 +147,15 @@ def _links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     return dealt.groupBy("root", "i", "j").applyInArrow(_compare, "u long, v long")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
     """One row of each group linked at Jaccard similarity 0.8 or more of 5-word shingles: that with the least doc_id, nulls last.
 
-    Texts without words are one group. Rows are told apart by a number of their own, so that of repeated
+    ``radius`` is that of the covering SimHash, which proposes beside MinHash. Texts without words are one group. Rows are told apart by a number of their own, so that of repeated
     rows, and of copies whose doc_id is null, one stays.
     """
     rows = numbered(docs)
     signed = stored(_sign(rows), "signed")
-    root = components(_links(rows, signed))
+    root = components(_links(rows, signed, radius))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_row")
     each = signed.groupBy("fp").agg(F.min(place).alias("p"))
     group = each.join(root.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "p", F.coalesce("root", "fp").alias("root"))
