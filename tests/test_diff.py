@@ -236,6 +236,20 @@ def test_ndjson_members(spark, tmp_path):
     assert open_table(spark, b).names == ["k", "v", "n"]
 
 
+def test_a_folder_whose_first_file_is_empty(spark, tmp_path):
+    rows = spark.createDataFrame([(f"pier {i}", str(i)) for i in range(40)], "pier string, depth string")
+    for kind in ("ndjson", "csv"):
+        folder = str(tmp_path / kind)
+        datagen.write(rows.repartition(3, "pier").where(F.spark_partition_id() > 0), folder, kind)
+        if kind == "csv":  # Spark puts a header there, others may not
+            put(tmp_path, "csv/part-00000-0.csv", "")
+        first = min(f for f in (tmp_path / kind).iterdir() if f.name.startswith("part-"))
+        assert first.stat().st_size == 0
+        t = open_table(spark, folder)
+        assert (t.kind, t.names) == (kind, ["pier", "depth"])
+        assert compare(spark, folder, rows.repartition(3, "pier").where(F.spark_partition_id() > 0), Options(key=("pier",))).identical
+
+
 def test_truncated_parquet_and_missing_file(spark, tmp_path):
     p = _write(tmp_path / "t.parquet", _formats()[0], "snappy")
     data = open(p, "rb").read()
