@@ -94,3 +94,23 @@ def differs(a: Column, b: Column, tolerance: float = 0.0) -> Column:
         return plain
     x, y = as_number(a), as_number(b)
     return F.when(plain & x.isNotNull() & y.isNotNull(), F.abs(x - y) > tolerance).otherwise(plain)
+
+
+def packed(cells: list[Column]) -> Column:
+    """Texts as one text, which sorts as they do one after the other and is small where they are short.
+
+    \\x00 stands between them. An absent cell is nothing, an empty one \\x01; in others \\x00 is \\x01\\x01 and \\x01 is \\x01\\x02.
+    """
+    changed = [F.replace(F.replace(c, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01")) for c in cells]
+    return F.concat_ws("\x00", *[F.when(c == "", F.lit("\x01")).otherwise(F.coalesce(x, F.lit(""))) for c, x in zip(cells, changed, strict=True)])
+
+
+def unpackable(text: Column, cells: list[Column]) -> Column:
+    """A packed text, and its cells beside it where they had to change in it or where splitting would mend malformed bytes."""
+    plain = F.when(F.contains(text, F.lit("\x01\x01")) | F.contains(text, F.lit("\x01\x02")) | ~F.is_valid_utf8(text), F.array(*cells))
+    return F.struct(text.alias("text"), plain.alias("plain"))
+
+
+def unpacked(col: Column) -> Column:
+    """The cells as an array; absent ones may come back empty, which ``normalise`` makes absent again."""
+    return F.coalesce(col["plain"], F.split(F.replace(col["text"], F.lit("\x01"), F.lit("")), "\x00", -1))

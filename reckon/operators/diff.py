@@ -1,6 +1,6 @@
 """The keyed diff: first occurrence per key, null-safe full outer join, one counting aggregate.
 
-Plan: keys are encoded without nulls; each side is reduced by min_by on its row order (partial aggregation
+Plan: keys are encoded without nulls; each side is reduced to the least row of its row order (partial aggregation
 before the one shuffle on the key), the sides meet in an equi join on the same keys and partitions, and counts and column statistics come from one
 aggregate over the join. Sections are lazy: sorted and capped only when asked for.
 """
@@ -9,25 +9,49 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
+from itertools import groupby
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.cells import canonical_text, differs, normalise
+from ..functions.cells import canonical_text, differs, normalise, packed, unpackable, unpacked
 from ..plans.options import DiffError, Options
 from ..plans.resolve import Resolved, resolve
 from ..sources.tables import Table, open_table
 
 COUNTS = ("a_rows", "b_rows", "a_keys", "b_keys", "a_dup_keys", "a_dup_rows", "b_dup_keys", "b_dup_rows", "matched", "unchanged", "changed", "added", "removed")
-#: From so many compared columns on, their statistics are grouped from exploded cells.
+#: From so many compared columns on, their statistics are grouped from exploded cells, and their texts packed.
 WIDE = 64
 
 
-def first_occurrence(t: DataFrame, n_key: int, n_cmp: int, side: str) -> DataFrame:
-    """k0.., <side>v (struct of the first row's cells), <side>n (rows of the key)."""
-    cells = F.struct(*[F.col(f"c{i}") for i in range(n_cmp)]) if n_cmp else F.struct(F.lit(1).alias("_"))
-    return t.groupBy(*[f"k{i}" for i in range(n_key)]).agg(F.min_by(cells, F.col("_ord")).alias(f"{side}v"), F.count(F.lit(1)).alias(f"{side}n"))
+def first_occurrence(table: Table, res: Resolved, opt: Options, side: str) -> DataFrame:
+    """k0.. (encoded), <side>v (struct of the first row's cells as normalised text), <side>n (rows of the key).
+
+    A task sorts its rows by key, so they are kept small until then: rows that their own cells order are kept once, not once
+    more as their order, and texts of wide tables are packed.
+    """
+    df = table.read(res.key, res.compared, opt)
+    kind = {n: df.schema[table.column(n)].dataType for n in (*res.key, *res.compared)}
+    text = lambda n, col: normalise(canonical_text(col, kind[n], n), opt)
+    by_cells = table.by_cells(opt)
+    names = list(dict.fromkeys([*res.key, *res.compared] if by_cells else res.compared))
+    runs = [(False, [n]) for n in names]
+    if len(res.compared) >= WIDE:  # texts that stand side by side make one field
+        runs = [(texts, [*g]) for texts, g in groupby(names, lambda n: kind[n] == T.StringType())]
+        runs = [r for texts, g in runs for r in ([(True, g)] if texts else [(False, [n]) for n in g])]
+    own = lambda g: [F.col(table.column(n)) for n in g]
+    df = df.withColumns({f"_text{j}": packed(own(g)) for j, (texts, g) in enumerate(runs) if texts})
+    parts = [(unpackable(F.col(f"_text{j}"), own(g)) if texts else own(g)[0]).alias(f"p{j}") for j, (texts, g) in enumerate(runs)] or [F.lit(1).alias("p0")]
+    keys = [f"k{i}" for i in range(len(res.key))]
+    rows = df.select(*[_encoded(text(n, F.col(table.column(n))), opt).alias(k) for k, n in zip(keys, res.key, strict=True)], F.struct(*parts).alias("_row"), *([] if by_cells else ["_ord"]))
+    first = F.min("_row") if by_cells else F.min_by("_row", "_ord")
+    t = rows.groupBy(*keys).agg(first.alias("_row"), F.count(F.lit(1)).alias(f"{side}n")).select(*keys, f"{side}n", "_row.*")
+    t = t.withColumns({f"p{j}": unpacked(F.col(f"p{j}")) for j, (texts, _) in enumerate(runs) if texts})
+    raw = {n: F.get(F.col(f"p{j}"), F.lit(i)) if texts else F.col(f"p{j}") for j, (texts, g) in enumerate(runs) for i, n in enumerate(g)}
+    cells = [text(n, raw[n]).alias(f"c{i}") for i, n in enumerate(res.compared)] or [F.lit(1).alias("_")]
+    return t.select(*keys, F.struct(*cells).alias(f"{side}v"), f"{side}n")
 
 
 def prepared(table: Table, res: Resolved, opt: Options) -> DataFrame:
@@ -201,9 +225,8 @@ def compare(spark: SparkSession, a: str | DataFrame, b: str | DataFrame, options
     ta, tb = open_table(spark, a, opt), open_table(spark, b, opt)
     res = resolve(ta.names, tb.names, opt)
     pa_, pb = prepared(ta, res, opt), prepared(tb, res, opt)
-    n, m = len(res.key), len(res.compared)
-    keyed = lambda t: t.withColumns({f"k{i}": _encoded(F.col(f"k{i}"), opt) for i in range(n)})
-    left, right = first_occurrence(keyed(pa_), n, m, "a"), first_occurrence(keyed(pb), n, m, "b")
+    n = len(res.key)
+    left, right = first_occurrence(ta, res, opt, "a"), first_occurrence(tb, res, opt, "b")
     right = right.select(*[F.col(f"k{i}").alias(f"_k{i}") for i in range(n)], "bv", "bn")
     if opt.hint:
         right = right.hint(opt.hint)

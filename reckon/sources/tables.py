@@ -84,6 +84,10 @@ class Table:
         """The physical column of a name; a name that repeats means its first."""
         return self.physical[name]
 
+    def by_cells(self, opt: Options) -> bool:
+        """Whether _ord is the cells read, in the order of keys and compared columns."""
+        return self.kind == "dataframe" and not opt.order_by
+
     def read(self, key: tuple[str, ...], compared: tuple[str, ...], opt: Options) -> DataFrame:
         """The columns asked for, and _ord, which orders rows as they stand."""
         wanted = list(dict.fromkeys([*key, *compared]))

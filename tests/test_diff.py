@@ -299,6 +299,55 @@ def test_wide_tables_use_grouped_cells(spark):
     assert {s["column"]: s["changed"] for s in r.column_stats}["remark"] == 0
 
 
+def _sorted_width(df):
+    """Bytes that Spark reckons for a row of each sort of a sort aggregate, at its 20 a text."""
+    todo, out = [df._jdf.queryExecution().sparkPlan()], []
+    while todo:
+        node = todo.pop()
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "SortAggregate":
+            out += [sum(k.output().apply(i).dataType().defaultSize() for i in range(k.output().size())) for k in kids]
+        todo += kids
+    return out
+
+
+@pytest.mark.parametrize(("n", "most"), [(10, 300), (100, 300)])
+def test_rows_are_small_when_they_are_sorted_by_key(spark, n, most):
+    df = spark.range(5).selectExpr("id", *[f"cast(id % {i + 2} as string) as w{i}" for i in range(n)])
+    width = _sorted_width(compare(spark, df, df, Options(key=("id",))).joined)
+    assert len(width) == 4 and max(width) <= most
+
+
+@pytest.mark.parametrize("kind", ["dataframe", "order_by", "parquet", "csv"])
+@pytest.mark.parametrize("flags", [{}, {"trim": True}])
+def test_packed_texts_are_the_same_cells(spark, tmp_path, monkeypatch, kind, flags):
+    rnd = random.Random(len(kind) + len(flags))
+    odd = [None, "", "\x00", "\x01", "\x01\x01", "\x01\x02", "\x00\x01", "\x02", "=", " ", "a", "A ", "a\x00", "aé", "é", "😀", "\uffff", "1.50"] if kind != "csv" else [None, "a", "A ", "é", "1.50", "=", "b,c"]
+    names = ["k", "w0", "n1", "w2", "w3", "w4", "d5", "w6", "n7"]
+    kinds = {"n": "long", "d": "double", "w": "string", "k": "string"}
+    value = {"n": lambda: rnd.choice([None, -5, 10, 9]), "d": lambda: rnd.choice([None, 0.1, -3.0, 1e21]), "w": lambda: rnd.choice(odd)}
+    base = [[None if rnd.random() < 0.7 else value[n[0]]() for n in names[1:]] for _ in range(60)]
+    rows = [[rnd.choice(["", None, "x", "y", " y", f"u{i}"]), *r] for i, r in enumerate(base)]
+    sides = []
+    for s in "ab":
+        df = spark.createDataFrame([r for r in rows if rnd.random() < 0.9], ", ".join(f"{n} {kinds[n[0]]}" for n in names)).coalesce(1)
+        if kind in ("dataframe", "parquet"):  # bytes that are no UTF-8
+            df = df.withColumns({"w3": F.when(F.col("n1").isNotNull(), F.expr("cast(X'61ff' as string)")).otherwise(F.col("w3")), "w6": F.when(F.col("n7").isNotNull(), F.expr("cast(X'e2' as string)")).otherwise(F.col("w6"))})
+        if kind in ("parquet", "csv"):
+            datagen.write(df, str(tmp_path / s), kind)
+        sides.append(str(tmp_path / s) if kind in ("parquet", "csv") else df)
+    opt = Options(key=("k",), order_by=tuple(reversed(names)) if kind == "order_by" else (), **flags)
+
+    def found():
+        r = compare(spark, *sides, opt)
+        cells = [f"hex({s}v.c{i})" for s in "ab" for i in range(8)]
+        return sorted(map(str, r.joined.selectExpr("hex(k0)", "an", "bn", *cells).collect())), r.counts, r.column_stats
+
+    plain = found()
+    monkeypatch.setattr("reckon.operators.diff.WIDE", 2)
+    assert plain == found() and plain[1]["a_dup_keys"] > 1
+
+
 def test_generator_shape(spark):
     a, b = datagen.pair(spark, 10_000)
     r = compare(spark, a, b, Options(key=("depot", "parcel")))
